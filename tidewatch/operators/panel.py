@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.spine import STEPS
 from .clean import Keys, _keys, fill_zero
@@ -89,9 +90,10 @@ def spine_counts(
     belongs to are events outside the spine and drop out.
     """
     keys = _keys(on)
+    kinds = events.select(*[m.alias(n) for n, m in measures.items()]).schema
     ones = {
-        name: F.when(m, 1).otherwise(0) if _is_predicate(events, m) else m
-        for name, m in measures.items()
+        n: F.when(m, 1).otherwise(0) if isinstance(kinds[n].dataType, T.BooleanType) else m
+        for n, m in measures.items()
     }
     rows = events.select(*keys, *[c.cast("long").alias(n) for n, c in ones.items()])
     gaps = spine.select(
@@ -107,10 +109,6 @@ def spine_counts(
     )
 
 
-def _is_predicate(df: DataFrame, c: Column) -> bool:
-    return df.select(c.alias("c")).schema["c"].dataType.simpleString() == "boolean"
-
-
 def region_spine_counts(
     events: DataFrame,
     spine: DataFrame,
