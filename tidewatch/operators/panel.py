@@ -86,54 +86,69 @@ def spine_counts(
 ) -> DataFrame:
     """Counts (or sums) per spine row in a single aggregation, without a join.
 
-    The spine takes part as rows that add nothing, which fills the gaps; groups no spine row
-    belongs to are events outside the spine and drop out.
+    A measure is a predicate to count or a whole number to add up. The spine takes part as rows
+    that add nothing, which fills the gaps; groups no spine row belongs to are events outside
+    the spine and drop out.
     """
     keys = _keys(on)
-    kinds = events.select(*[m.alias(n) for n, m in measures.items()]).schema
-    ones = {
-        n: F.when(m, 1).otherwise(0) if isinstance(kinds[n].dataType, T.BooleanType) else m
-        for n, m in measures.items()
-    }
-    rows = events.select(*keys, *[c.cast("long").alias(n) for n, c in ones.items()])
-    gaps = spine.select(
-        *keys, *[F.lit(0).cast("long").alias(n) for n in measures], F.lit(True).alias("_spine")
-    )
+    rows = events.select(*keys, *[m.alias(n) for n, m in measures.items()])
+    counted = [
+        f"CAST(CASE WHEN `{n}` THEN 1 ELSE 0 END AS BIGINT) AS `{n}`"
+        if isinstance(rows.schema[n].dataType, T.BooleanType)
+        else f"CAST(`{n}` AS BIGINT) AS `{n}`"
+        for n in measures
+    ]
+    rows = rows.selectExpr(*_quoted(keys), *counted, "0L AS _spine")
+    gaps = spine.selectExpr(*_quoted(keys), *[f"0L AS `{n}`" for n in measures], "1L AS _spine")
     return (
-        rows.withColumn("_spine", F.lit(False))
-        .unionByName(gaps)
+        rows.unionByName(gaps)
         .groupBy(*keys)
-        .agg(*[F.sum(n).alias(n) for n in measures], F.max("_spine").alias("_spine"))
-        .filter("_spine")
-        .drop("_spine")
+        .sum(*measures, "_spine")
+        .filter("`sum(_spine)` > 0")
+        .selectExpr(*_quoted(keys), *[f"`sum({n})` AS `{n}`" for n in measures])
     )
 
 
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
 def region_spine_counts(
     events: DataFrame,
     spine: DataFrame,
     date: str,
-    regions: Mapping[str, Mapping[str, Column]],
+    regions: Mapping[str, Column],
+    measures: Mapping[str, Column],
+    overrides: Mapping[tuple[str, str], Column] | None = None,
 ) -> DataFrame:
-    """Long panel ``(date, region, measure...)`` where each region has its own rule per measure.
+    """Long panel ``(date, region, measure...)``.
 
-    One row may count for several regions, and a total need not be the sum of its parts. All
-    regions are counted side by side in one pass and turned into rows afterwards.
+    A region is a membership predicate, so one row may count for several of them, and a total
+    need not be the sum of its parts; ``overrides`` gives a region its own rule for a measure.
+    All regions are counted side by side in one pass and turned into rows afterwards.
     """
-    names = list(next(iter(regions.values())))
-    flat = {
-        f"{i}_{name}": rules[name]
-        for i, rules in enumerate(regions.values())
-        for name in names
+    overrides = overrides or {}
+    flags = events.select(
+        date,
+        *[c.alias(f"_r{i}") for i, c in enumerate(regions.values())],
+        *[c.alias(f"_m{j}") for j, c in enumerate(measures.values())],
+        *[c.alias(f"_o{k}") for k, c in enumerate(overrides.values())],
+    )
+    place = {pair: f"_o{k}" for k, pair in enumerate(overrides)}
+    cells = {
+        f"_c{i}_{j}": place.get((region, name), f"(_r{i} AND _m{j})")
+        for i, region in enumerate(regions)
+        for j, name in enumerate(measures)
     }
-    wide = spine_counts(events, spine, date, flat)
-    rows = [
-        F.struct(
-            F.lit(region).alias("region"), *[F.col(f"{i}_{n}").alias(n) for n in names]
-        )
+    marked = flags.selectExpr(date, *[f"{rule} AS {cell}" for cell, rule in cells.items()])
+    wide = spine_counts(marked, spine, date, {cell: F.col(cell) for cell in cells})
+    structs = [
+        f"struct('{region}' AS region, "
+        + ", ".join(f"_c{i}_{j} AS `{name}`" for j, name in enumerate(measures))
+        + ")"
         for i, region in enumerate(regions)
     ]
-    return wide.select(date, F.inline(F.array(*rows)))
+    return wide.selectExpr(date, f"inline(array({', '.join(structs)}))")
 
 
 def dropped_events(events: DataFrame, spine: DataFrame, on: Keys) -> DataFrame:

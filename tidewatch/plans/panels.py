@@ -46,14 +46,9 @@ def counties() -> list[str]:
     return dimension_table("county").column("county").to_pylist()
 
 
-def by_county(
-    county: str, total: Mapping[str, Column], part: Mapping[str, Column]
-) -> dict[str, dict[str, Column]]:
-    """Counting rules: ``total`` for the district, ``part`` within each county."""
-    rules = {TOTAL: dict(total)}
-    for name in counties():
-        rules[name] = {m: (F.col(county) == name) & p for m, p in part.items()}
-    return rules
+def by_county(county: str) -> dict[str, Column]:
+    """The district, which every row belongs to, and its counties by name."""
+    return {TOTAL: F.lit(True), **{name: F.col(county) == name for name in counties()}}
 
 
 def _status_and_age() -> dict[str, Column]:
@@ -74,13 +69,12 @@ def _weekly(
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     new, total, mean = names
-    shared = {**_status_and_age(), **(extra or {})}
-    rules = by_county(
-        "county_name", {new: counted, **shared}, {new: F.lit(True), **shared}
-    )
+    measures = {new: F.lit(True), **_status_and_age(), **(extra or {})}
     spine = date_spine(events.sparkSession, start, end, "week", "week_of")
     dated = events.withColumnRenamed(week, "week_of")
-    panel = region_spine_counts(dated, spine, "week_of", rules)
+    panel = region_spine_counts(
+        dated, spine, "week_of", by_county("county_name"), measures, {(TOTAL, new): counted}
+    )
     panel = cumulative(panel, {new: total}, "week_of", "region")
     return trailing_mean(panel, {new: mean}, 4, "week_of", "region")
 
@@ -136,19 +130,19 @@ def cases_daily(
 ) -> DataFrame:
     """Cases per day and region: totals, 7-day mean and sum, shares and per-capita rates."""
     spark = cases.sparkSession
-    shared = {
+    measures = {
+        "new_cases": F.lit(True),
         "vaccinated": F.col("breakthrough") == "Yes",
         "unvaccinated": F.col("breakthrough") == "No",
         "reinfection": F.col("reinfection") == "Yes",
     }
-    rules = by_county(
-        "county_name",
-        {"new_cases": F.col("st_case_status") == "Confirmed", **shared},
-        {"new_cases": F.lit(True), **shared},
-    )
-    spine = date_spine(spark, start, as_of)
     panel = region_spine_counts(
-        cases.withColumnRenamed("case_date", "date"), spine, "date", rules
+        cases.withColumnRenamed("case_date", "date"),
+        date_spine(spark, start, as_of),
+        "date",
+        by_county("county_name"),
+        measures,
+        {(TOTAL, "new_cases"): F.col("st_case_status") == "Confirmed"},
     )
     panel = with_population(panel, dimension(spark, "population"), "region")
     panel = panel.withColumns(
@@ -248,14 +242,14 @@ def positivity_daily(
     ``date`` chooses the basis: collection date counts by person, case date by test. District
     tests go by the district column, district positives by result alone.
     """
-    positive = F.col("test_result") == "POSITIVE"
-    rules = by_county(
-        county,
-        {"tests": F.col(district) == home, "positives": positive},
-        {"tests": F.lit(True), "positives": positive},
+    panel = region_spine_counts(
+        tests.withColumnRenamed(date, "date"),
+        date_spine(tests.sparkSession, start, as_of),
+        "date",
+        by_county(county),
+        {"tests": F.lit(True), "positives": F.col("test_result") == "POSITIVE"},
+        {(TOTAL, "tests"): F.col(district) == home},
     )
-    spine = date_spine(tests.sparkSession, start, as_of)
-    panel = region_spine_counts(tests.withColumnRenamed(date, "date"), spine, "date", rules)
     panel = panel.withColumn("positivity", safe_ratio("positives", "tests", fill=0))
     panel = cumulative(panel, {"tests": "total_tests"}, "date", "region")
     panel = trailing_mean(
