@@ -1,6 +1,6 @@
 """Queries over the benchmark tables, and the SQL they are checked against."""
 
-from . import basics, panels  # noqa: F401
+from . import basics, exchange, panels, schools  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
