@@ -106,9 +106,9 @@ def assert_unique(df: DataFrame, key: Keys) -> DataFrame:
 
 
 def _lookup(df: DataFrame, col: str, dim: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    # No broadcast hint: Spark broadcasts a dimension whose size it knows to be small, and
-    # shuffles a large one.
-    side = dim.select(F.col(key).alias("_key"), F.col(value).alias(name)).dropDuplicates(["_key"])
+    # The dimension lists each key once (see assert_unique). No broadcast hint: Spark broadcasts
+    # a dimension whose size it knows to be small, and shuffles a large one.
+    side = dim.select(F.col(key).alias("_key"), F.col(value).alias(name))
     return df.join(side, F.col(f"`{col}`") == F.col("_key"), "left").drop("_key")
 
 

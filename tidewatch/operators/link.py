@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .clean import Keys, _keys
 
 
+# Joins compare ids wrapped in a struct. Spark then shuffles both sides for the join itself, even
+# where one of them comes out of an aggregation on the same id, and adaptive execution can split
+# the partitions of a hot id: it leaves a side alone whose shuffle serves something else as well.
+_KEY = "_key"
+
+
 def _complete(keys: Sequence[str]) -> Column:
     test = F.col(keys[0]).isNotNull()
     for k in keys[1:]:
@@ -17,27 +23,40 @@ def _complete(keys: Sequence[str]) -> Column:
     return test
 
 
-def anti_join(left: DataFrame, right: DataFrame, key: Keys) -> DataFrame:
-    """Rows of ``left`` whose key is absent from ``right``; a null key is never found.
+def _keyed(df: DataFrame, keys: Sequence[str], null_safe: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows that can link, with their key, and rows that cannot because an id is missing."""
+    linkable = F.lit(True) if null_safe else _complete(keys)
+    return df.filter(linkable).withColumn(_KEY, F.struct(*keys)), df.filter(~linkable)
+
+
+def anti_join(
+    left: DataFrame, right: DataFrame, key: Keys, null_safe: bool = False
+) -> DataFrame:
+    """Rows of ``left`` whose key is absent from ``right``; a missing key is never found.
 
-    Null keys never enter the shuffle (they would all land in one task), the right side is cut
-    down to its distinct keys first, and a hot key on the left is split by adaptive execution.
+    Missing keys stay out of the shuffle, where they would all land in one task, and the right
+    side is cut down to its distinct keys first.
     """
     keys = _keys(key)
-    complete = _complete(keys)
-    found = right.select(*keys).filter(complete).distinct()
-    return (
-        left.filter(complete).join(found, keys, "left_anti").unionByName(left.filter(~complete))
-    )
+    rows, incomplete = _keyed(left, keys, null_safe)
+    found, _ = _keyed(right.select(*keys).distinct(), keys, null_safe)
+    lone = rows.join(found.select(_KEY), _KEY, "left_anti").drop(_KEY)
+    return lone.unionByName(incomplete)
 
 
 def link_records(
-    left: DataFrame, right: DataFrame, key: Keys, how: str = "full", null_safe: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    key: Keys,
+    how: str = "full",
+    null_safe: bool = False,
+    right_unique: bool = False,
 ) -> DataFrame:
     """Join two record sets on an id, keeping what has no partner on either side.
 
     A full outer join cannot be split when one key is hot. Matched rows, unmatched left rows and
-    unmatched right rows are computed apart instead: each of those joins can be split. With
+    unmatched right rows are computed apart instead, in joins that can be. If the right side has
+    at most one row per key (``right_unique``), a left outer join covers the first two. With
     ``null_safe`` a missing key links to a missing key.
     """
     keys = _keys(key)
@@ -46,19 +65,19 @@ def link_records(
     overlap = set(left.columns) & set(right.columns) - set(keys)
     if overlap:
         raise ValueError(f"rename the shared columns first: {sorted(overlap)}")
-    on = keys
-    if null_safe:
-        # A struct is never null itself, and its null fields compare equal.
-        on = ["_key"]
-        left = left.withColumn("_key", F.struct(*keys)).drop(*keys)
-        right = right.withColumn("_key", F.struct(*keys)).drop(*keys)
-    out = left.join(right, on, "inner")
-    if how != "inner":
-        out = out.unionByName(anti_join(left, right, on), allowMissingColumns=True)
+    rows, incomplete = _keyed(left, keys, null_safe)
+    partners = _keyed(right, keys, null_safe)[0].drop(*keys)
+    if how != "inner" and right_unique:
+        out = rows.join(partners, _KEY, "left").drop(_KEY)
+        out = out.unionByName(incomplete, allowMissingColumns=True)
+    else:
+        out = rows.join(partners, _KEY, "inner").drop(_KEY)
+        if how != "inner":
+            lone = anti_join(left, right, keys, null_safe)
+            out = out.unionByName(lone, allowMissingColumns=True)
     if how == "full":
-        out = out.unionByName(anti_join(right, left, on), allowMissingColumns=True)
-    if null_safe:
-        out = out.select("_key.*", *[c for c in out.columns if c != "_key"])
+        lone = anti_join(right, left, keys, null_safe)
+        out = out.unionByName(lone, allowMissingColumns=True)
     return out
 
 

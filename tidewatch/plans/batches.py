@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import symmetric_delta
+from ..operators import new_records, symmetric_delta
 from . import coverage, extracts, lists, panels, schools, scorecards
 
 HOSPITAL_DELTA = (
@@ -95,7 +95,8 @@ def school_tables(
         "adults_to_reroute": lists.adults_to_reroute(linked),
     }
     if previous_cohort is not None:
-        out["new_cases"] = symmetric_delta(cohort, previous_cohort, "patient_record_number")
+        out["cohort_delta"] = symmetric_delta(cohort, previous_cohort, "patient_record_number")
+        out["new_cases"] = new_records(cohort, previous_cohort, "patient_record_number")
         out["notices"] = lists.case_notices(out["new_cases"])
     if previous_minors is not None:
         out["minors_delta"] = lists.minors_delta(minors, previous_minors)

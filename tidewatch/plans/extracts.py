@@ -10,14 +10,14 @@ from ..functions import (
     dominant_category,
     epi_week,
     epi_year,
+    first_match,
     flag_any,
     month_floor,
     normalize_text,
     override_if_in,
     week_floor,
 )
-from ..operators import dedupe_by_priority, fill_blank, link_records, map_codes, parse_dates
-from ..sources import dimension
+from ..operators import dedupe_by_priority, fill_blank, link_records, parse_dates
 from ..sources.dimensions import dimension_table
 
 # Visit types in order of preference, age bands (upper bound exclusive), the test
@@ -40,8 +40,9 @@ def city_rules() -> list[tuple[str, str]]:
 
 
 def _with_county(df: DataFrame) -> DataFrame:
-    counties = dimension(df.sparkSession, "county")
-    return map_codes(df, "county", counties, "code", "county", "county_name", default="")
+    codes = dimension_table("county").to_pylist()
+    name = first_match([(F.col("county") == r["code"], r["county"]) for r in codes], "")
+    return df.withColumn("county_name", name)
 
 
 def clean_case_extract(cases: DataFrame) -> DataFrame:
@@ -152,4 +153,4 @@ def link_collection_date(cases: DataFrame, investigations: DataFrame) -> DataFra
         cases.select("patient_record_number", "first_positive_lab", "case_onset_date"),
         ["first_positive_lab", "case_onset_date"],
     )
-    return link_records(lab, investigations, "patient_record_number")
+    return link_records(lab, investigations, "patient_record_number", right_unique=True)

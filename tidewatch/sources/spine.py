@@ -27,7 +27,7 @@ def date_spine(
     name: str = "date",
 ) -> DataFrame:
     """Every day, every seventh day or every month from ``start`` to ``end``, both included."""
-    return spark.range(1).select(_dates(date_lit(start), date_lit(end), step).alias(name))
+    return spark.range(0, 1, 1, 1).select(_dates(date_lit(start), date_lit(end), step).alias(name))
 
 
 def spine_between(
