@@ -7,6 +7,7 @@ Never hand line-level rows to these.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -122,33 +123,44 @@ def open_count(
     else:
         measures = {"entered": F.lit(1), "left": F.lit(0)}
     daily = spine_counts(entry, grid, [date, *entity], measures)
-    return close_open(daily, k, date, entity, literal)
+    return close_open(daily, [Interval(k)], date, entity, literal)
+
+
+@dataclass(frozen=True)
+class Interval:
+    """Length of an interval and the columns its counts go by."""
+
+    k: int
+    entered: str = "entered"
+    left: str = "left"
+    entered_total: str = "entered_total"
+    left_total: str = "left_total"
+    open: str = "open"
 
 
 def close_open(
     daily: DataFrame,
-    k: int,
+    intervals: Sequence[Interval],
     date: str,
     by: Keys | None = None,
     literal: bool = False,
-    entered: str = "entered",
-    left: str = "left",
-    entered_total: str = "entered_total",
-    left_total: str = "left_total",
-    open_name: str = "open",
 ) -> DataFrame:
     """Running totals of entries and exits of a gap-free daily panel, and their difference.
 
     Unless ``literal``, exits are the entries of ``k`` rows before, so both legs stem from the
-    same events.
+    same events. All intervals share their window passes.
     """
-    out = cumulative(daily, {entered: entered_total}, date, by)
+    out = cumulative(daily, {i.entered: i.entered_total for i in intervals}, date, by)
     if literal:
-        out = cumulative(out, {left: left_total}, date, by).drop(left)
+        out = cumulative(out, {i.left: i.left_total for i in intervals}, date, by)
     else:
-        earlier = F.lag(entered_total, k, 0).over(_by(by, date))
-        out = out.drop(left).withColumn(left_total, earlier)
-    return out.withColumn(open_name, F.col(entered_total) - F.col(left_total))
+        w = _by(by, date)
+        out = out.withColumns(
+            {i.left_total: F.lag(i.entered_total, i.k, 0).over(w) for i in intervals}
+        )
+    return out.drop(*[i.left for i in intervals]).withColumns(
+        {i.open: F.col(i.entered_total) - F.col(i.left_total) for i in intervals}
+    )
 
 
 def latest(df: DataFrame, date: str, cols: Sequence[str], by: Keys | None = None) -> DataFrame:

@@ -25,8 +25,13 @@ def _band(kind: str, c: str) -> Column:
     return first_match([(F.col(c) == r["value"], r["band"]) for r in rows])
 
 
-def _present(*members: Column) -> Column:
-    return F.array_compact(F.array(*members))
+def _each(df: DataFrame, members: list[Column], name: str) -> DataFrame:
+    """One row per member that is not null.
+
+    The array itself is never empty, so no size test on it is inferred and pushed down to the
+    scan, where it would evaluate the attributes once more.
+    """
+    return df.withColumn(name, F.explode(F.array(*members))).filter(F.col(name).isNotNull())
 
 
 def coverage_grid(population: DataFrame) -> DataFrame:
@@ -78,20 +83,13 @@ def coverage_panel(
         ],
     )
     cube = attributes.groupBy(*attributes.columns).agg(F.count("*").alias("n"))
-    bands = _present(
-        F.lit("all"), F.col("age_band"), F.col("race_band"), *[f"band_{b}" for b in FROM_AGE]
+    members = _each(cube, [F.col("total_region"), F.col("county")], "region")
+    members = _each(
+        members, [F.col("first"), F.col("second"), F.col("third"), F.lit("total")], "dose"
     )
-    members = (
-        cube.select(
-            "date",
-            "n",
-            F.explode(_present("total_region", "county")).alias("region"),
-            _present("first", "second", "third", F.lit("total")).alias("doses"),
-            bands.alias("bands"),
-        )
-        .select("date", "n", "region", "bands", F.explode("doses").alias("dose"))
-        .select("date", "n", "region", "dose", F.explode("bands").alias("band"))
-        .filter((F.col("dose") != "total") | (F.col("band") == "all"))
+    bands = ["age_band", "race_band", *[f"band_{b}" for b in FROM_AGE]]
+    members = _each(members, [F.lit("all"), *[F.col(b) for b in bands]], "band").filter(
+        (F.col("dose") != "total") | (F.col("band") == "all")
     )
     on = ["date", "region", "dose", "band"]
     grid = dense_grid(coverage_grid(population), start, as_of)

@@ -102,8 +102,8 @@ def to_recipients(cohort: DataFrame, recipients: DataFrame | None = None) -> Dat
     for kind in ("district", "school"):
         listed = recipients.filter(F.col("kind") == kind)
         out = map_codes(out, kind, listed, "value", "recipient", f"_{kind}")
-    both = F.array_compact(F.array("_district", "_school"))
-    return out.withColumn("recipient", F.explode(both)).drop("_district", "_school")
+    out = out.withColumn("recipient", F.explode(F.array("_district", "_school")))
+    return out.filter(F.col("recipient").isNotNull()).drop("_district", "_school")
 
 
 def case_notices(new_cases: DataFrame, recipients: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import (
     spine_counts,
     trailing_mean,
 )
-from ..operators.series import close_open
+from ..operators.series import Interval, close_open
 from ..sources import dense_grid, dimension
 
 # The school year, roles that are not counted, the student ages, the length of the
@@ -28,6 +28,17 @@ ACTIVE_DAYS = 10
 MEAN_DAYS = 5
 RATIO_DAYS = 5
 
+INTERVALS = (
+    Interval(
+        THRESHOLD_DAYS, "student", "student_out",
+        "total_student_cases", "students_after_7", "current_threshold_cases",
+    ),
+    Interval(ACTIVE_DAYS, "new", "out", "total_cases", "recovered", "active_cases"),
+    Interval(
+        ACTIVE_DAYS, "st_new", "st_out",
+        "total_school_transmitted", "st_recovered", "active_school_transmitted",
+    ),
+)
 SUMMARY = (
     "school",
     "new_student_cases",
@@ -118,18 +129,7 @@ def _daily(
 
 
 def _panel(daily: DataFrame, entity: str, literal: bool) -> DataFrame:
-    out = close_open(
-        daily, THRESHOLD_DAYS, "date", entity, literal, "student", "student_out",
-        "total_student_cases", "students_after_7", "current_threshold_cases",
-    )
-    out = close_open(
-        out, ACTIVE_DAYS, "date", entity, literal, "new", "out",
-        "total_cases", "recovered", "active_cases",
-    )
-    out = close_open(
-        out, ACTIVE_DAYS, "date", entity, literal, "st_new", "st_out",
-        "total_school_transmitted", "st_recovered", "active_school_transmitted",
-    )
+    out = close_open(daily, INTERVALS, "date", entity, literal)
     return out.withColumnsRenamed(
         {
             "student": "new_student_cases",

@@ -6,8 +6,11 @@ and the checking engine share, so both sides start from the same rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 HOME = "Home"
 START, AS_OF = "1995-01-01", "2001-07-31"
@@ -47,7 +50,9 @@ _RATE_COUNTY = (
 )
 _PRIORITY = "CASE o_orderpriority WHEN '1-URGENT' THEN {} WHEN '2-HIGH' THEN {} " \
     "WHEN '3-MEDIUM' THEN {} WHEN '4-NOT SPECIFIED' THEN {} ELSE {} END"
-_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+# Computed once per row, ahead of the columns that use it.
+_K = "k"
+_BASE = {"doses": {"k": "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"}}
 
 # name -> (tables with join conditions, {column: expression})
 EXTRACTS: dict[str, tuple[list[tuple[str, str | None]], dict[str, str]]] = {
@@ -194,8 +199,15 @@ EXTRACTS: dict[str, tuple[list[tuple[str, str | None]], dict[str, str]]] = {
 _VARCHAR = "VARCHAR(20)"
 
 
+@functools.cache
+def _schema(path: str) -> StructType:
+    """Schema of a table, read from its footer once."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def extract(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -204,6 +216,8 @@ def extract(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for source, on in tables:
         side = table(spark, sf_dir, source)
         out = side if out is None else out.join(side, F.expr(on))
+    for column, expr in _BASE.get(name, {}).items():
+        out = out.withColumn(column, F.expr(expr))
     return out.selectExpr(
         *[f"{e.replace(_VARCHAR, 'STRING')} AS {c}" for c, e in columns.items()]
     )
@@ -212,4 +226,7 @@ def extract(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def extract_sql(name: str) -> str:
     tables, columns = EXTRACTS[name]
     source = tables[0][0] + "".join(f" JOIN {t} ON {on}" for t, on in tables[1:])
+    if name in _BASE:
+        base = ", ".join(f"{e} AS {c}" for c, e in _BASE[name].items())
+        source = f"(SELECT *, {base} FROM {source})"
     return f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source}"
