@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch import plans as P
 from tidewatch.operators import dropped_events
 from tidewatch.plans.charts import chart_captions
+from tidewatch.session import stage
 from tidewatch.sources import commit_snapshot, dense_grid, dimension, publish, read_snapshot
 
 D = dt.date
@@ -576,6 +577,18 @@ def test_hospital_delta_and_snapshots(spark, inputs, tmp_path):
     assert got == {c["patient_record_number"] for c in CASES if c["hosp"] == "Yes"}
 
 
+def test_staging_does_not_change_the_tables(inputs, school, rows, tmp_path):
+    staged = P.school_tables(
+        inputs["investigations"],
+        inputs["cases"],
+        AS_OF,
+        HOME,
+        stage=lambda df: stage(df, str(tmp_path)),
+    )
+    for name in ("latest_summary", "minors", "line_list"):
+        assert rows(staged[name]) == rows(school[name])
+
+
 def test_publish_the_summary(spark, school, tmp_path):
     base = str(tmp_path)
     publish({"latest_summary": school["latest_summary"]}, base, AS_OF)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import operators as O
-from tidewatch.session import stage
+from tidewatch.session import shared_folder, stage
 from tidewatch.sources import (
     commit_snapshot,
     dimension,
@@ -161,8 +161,10 @@ def test_dimensions_refer_to_each_other():
 
 
 def test_stage_uses_the_named_folder(spark, rows, tmp_path):
-    df = spark.createDataFrame([(1,)], "n int")
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        with pytest.raises(ValueError, match="checkpoint"):
-            stage(df)
-    assert rows(stage(df, str(tmp_path))) == [(1,)]
+    df = spark.createDataFrame([(1, None)], "n int, t string")
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    assert shared_folder(spark, "elsewhere") == str(folder)
+    before = set(folder.glob("staged-*"))
+    assert rows(stage(df, str(tmp_path / "unused"))) == [(1, None)]
+    assert len(set(folder.glob("staged-*")) - before) == 1
+    assert not (tmp_path / "unused").exists()

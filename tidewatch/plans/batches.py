@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,16 +70,20 @@ def school_tables(
     home: str,
     previous_cohort: DataFrame | None = None,
     previous_minors: DataFrame | None = None,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Cohort, panels, summaries and line lists of the school batch.
 
-    The cohort feeds most of these tables: pass it through ``session.stage`` first when they
-    are all to be written.
+    The linked cases and the cohort feed all of these tables. Pass ``session.stage`` when they
+    are all to be written: both are then computed once and read from files afterwards.
     """
-    linked = extracts.link_collection_date(
-        cases, extracts.clean_investigations(investigations, home)
+    stage = stage or (lambda df: df)
+    linked = stage(
+        extracts.link_collection_date(
+            cases, extracts.clean_investigations(investigations, home)
+        )
     )
-    cohort = schools.k12_cohort(linked)
+    cohort = stage(schools.k12_cohort(linked))
     by_school = schools.school_panel(cohort, as_of)
     by_district = schools.district_panel(cohort, as_of)
     minors = lists.uninvestigated_minors(linked)

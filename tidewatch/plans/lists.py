@@ -126,8 +126,12 @@ def line_list(
     as_of: dt.date | str,
     recipients: DataFrame | None = None,
     days: int = LIST_DAYS,
+    keep_null: bool = False,
 ) -> DataFrame:
-    """Cases of the last two weeks per recipient with symptoms and infectious period."""
+    """Cases of the last two weeks per recipient with symptoms and infectious period.
+
+    ``keep_null`` leaves a missing symptom answer missing instead of ``Unknown``.
+    """
     recent = to_recipients(trailing_days(cohort, "covid_case_date", as_of, days), recipients)
     named = F.when(F.col("school").isin(*RENAMED_SCHOOLS), F.col("school"))
     return (
@@ -135,7 +139,7 @@ def line_list(
         .withColumnsRenamed(RENAMES)
         .withColumns(
             {
-                "symptoms": yes_no_unknown("corona_pui_col_covid_sympt"),
+                "symptoms": yes_no_unknown("corona_pui_col_covid_sympt", keep_null),
                 "isolate_through": F.date_add("onset_date", INFECTIOUS_AFTER),
                 "infectious_start_date": F.date_sub("onset_date", INFECTIOUS_BEFORE),
             }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes the shuffles, turns joins with a side measured below the broadcast
@@ -31,15 +33,28 @@ def build_session(
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
+    """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
+
+    ``fallback`` is used only where the session names none, as in tests.
+    """
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        or fallback
+    )
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
+    return folder.rstrip("/")
+
+
 def stage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Checkpoint a frame several outputs are computed from.
+    """Write out a frame several outputs are computed from, and go on from the files.
 
-    The files go to the shared folder named by ``spark.checkpoint.dir``, so they outlive any
-    executor. ``fallback_dir`` is used only where the session names none, as in tests.
+    The table lies in the shared folder, so it outlives any executor; being columnar, it is read
+    back only as far as each output needs.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-    if folder is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback_dir was given")
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark, fallback_dir)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

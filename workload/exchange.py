@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import distinct_on, fill_blank, map_codes, parse_dates
+from tidewatch.session import shared_folder
 from tidewatch.sources import (
     commit_snapshot,
     dimension,
@@ -27,8 +28,11 @@ from .schools import _line_list_sql, line_list_14d
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint directory; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='tidewatch-')}/{uuid.uuid4().hex}"
+    try:
+        folder = shared_folder(spark)
+    except ValueError:
+        folder = tempfile.mkdtemp(prefix="tidewatch-")
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 _CASE_COLUMNS = (
@@ -106,9 +110,11 @@ def recipient_fanout(spark, sf_dir):
     )
 
 
-# DuckDB keeps parquet row order only through a file function, which the views hide: checked in
-# the tests instead.
-@query()
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER
+    (PARTITION BY l_orderkey ORDER BY pos) AS rn FROM (SELECT *, row_number() OVER () AS pos
+    FROM lineitem)) WHERE rn = 1"""
+)
 def keep_first_in_file(spark, sf_dir):
     """First row per key in file order."""
     lines = with_input_order(table(spark, sf_dir, "lineitem"))
