@@ -69,17 +69,18 @@ def dedupe_by_priority(
 ) -> DataFrame:
     """One row per key, preferring the values of ``col`` in the given order; others come last.
 
-    Ties go to ``tiebreak`` (for instance ``input_order``), then to a fixed order on content.
+    Ties go to ``tiebreak``, which should leave none (for instance ``input_order``). Without it
+    row content decides, for which every column has to be read.
     """
     priority = first_match([(F.col(col) == v, i) for i, v in enumerate(order)], len(order))
     tie = [F.col(t) if isinstance(t, str) else t for t in tiebreak]
-    return _first_per_key(df, key, [priority, *tie, *_total_order(df)])
+    return _first_per_key(df, key, [priority, *(tie or _total_order(df))])
 
 
 def distinct_on(df: DataFrame, key: Keys, order: Sequence[Column | str] = ()) -> DataFrame:
-    """One row per key: the first under ``order``."""
+    """One row per key: the first under ``order``, or by row content if none is given."""
     by = [F.col(o) if isinstance(o, str) else o for o in order]
-    return _first_per_key(df, key, [*by, *_total_order(df)])
+    return _first_per_key(df, key, by or _total_order(df))
 
 
 def unique_only(df: DataFrame, key: Keys) -> DataFrame:

@@ -74,15 +74,12 @@ def school_tables(
 ) -> dict[str, DataFrame]:
     """Cohort, panels, summaries and line lists of the school batch.
 
-    The linked cases and the cohort feed all of these tables. Pass ``session.stage`` when they
-    are all to be written: both are then computed once and read from files afterwards.
+    The cleaned, the linked cases and the cohort feed several of these tables. Pass
+    ``session.stage`` to compute each once and read it from files afterwards.
     """
     stage = stage or (lambda df: df)
-    linked = stage(
-        extracts.link_collection_date(
-            cases, extracts.clean_investigations(investigations, home)
-        )
-    )
+    cleaned = stage(extracts.clean_investigations(investigations, home))
+    linked = stage(extracts.link_collection_date(cases, cleaned))
     cohort = stage(schools.k12_cohort(linked))
     by_school = schools.school_panel(cohort, as_of)
     by_district = schools.district_panel(cohort, as_of)

@@ -22,14 +22,19 @@ def labels(lang: str) -> dict[str, str]:
     return {r["key"]: r["label"] for r in rows if r["lang"] == lang}
 
 
-def _totals(df: DataFrame, name: str) -> DataFrame:
-    """Row counts: the district by its member flag, the counties by name."""
-    counts = [F.count_if(F.col("lhd") == 1).alias(TOTAL)] + [
-        F.count_if(F.col("county_name") == c).alias(c) for c in counties()
+def _totals(df: DataFrame, **rules: Column) -> DataFrame:
+    """Row counts in one pass: the district by its member flag, the counties by name."""
+    members = {TOTAL: F.col("lhd") == 1} | {c: F.col("county_name") == c for c in counties()}
+    counts = [
+        F.count_if(member & rule).alias(f"{i}_{name}")
+        for i, member in enumerate(members.values())
+        for name, rule in rules.items()
     ]
     rows = [
-        F.struct(F.lit(c).alias("region"), F.col(f"`{c}`").alias(name))
-        for c in (TOTAL, *counties())
+        F.struct(
+            F.lit(region).alias("region"), *[F.col(f"{i}_{name}").alias(name) for name in rules]
+        )
+        for i, region in enumerate(members)
     ]
     return df.agg(*counts).select(F.inline(F.array(*rows)))
 
@@ -50,9 +55,12 @@ def regional_scorecard(
     """Totals of the cleaned extracts and the last value of the panels, one row per region."""
     return scorecard(
         [
-            _totals(deaths, "total_deaths"),
-            _totals(cases.filter(F.col("hosp") == "Yes"), "total_hospitalizations"),
-            _totals(cases, "total_cases"),
+            _totals(deaths, total_deaths=F.lit(True)),
+            _totals(
+                cases,
+                total_hospitalizations=F.col("hosp") == "Yes",
+                total_cases=F.lit(True),
+            ),
             _last(weekly, "week_of", new_weekly_cases="weekly_cases"),
             _last(daily, "date", mean_7d="mean_7d"),
             _last(tests, "date", positivity_7d="positivity_7d"),
