@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from tidewatch import operators as O
+from tidewatch.sources import write_by_recipient
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,6 +104,17 @@ def test_dimension_lookup_splits_a_hot_value(spark, small_skew):
     assert out.filter("label IS NULL").count() == 0
 
 
+def test_fan_out_splits_a_hot_recipient(spark, small_skew, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    path = str(tmp_path / "lists")
+    few = F.when(F.col("k") == "hot", F.col("k")).otherwise(F.substring("v", 1, 1))
+    write_by_recipient(hot(spark).withColumn("recipient", few), path)
+    files = {p.name: len(list(p.glob("*.csv"))) for p in Path(path).glob("recipient=*")}
+    assert len(files) == 17
+    assert files["recipient=hot"] > 4
+    assert spark.read.option("header", True).csv(path).count() == 30_000
+
+
 def test_panels_shuffle_counts_not_events(spark):
     """The only exchange above the scan of the events follows a partial aggregation."""
     text = plan(entry_point.queries()["deaths_weekly"](spark, SF))

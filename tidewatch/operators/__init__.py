@@ -11,6 +11,7 @@ from .clean import (
     fill_zero,
     map_codes,
     parse_dates,
+    parse_ints,
     unique_only,
     unmapped,
 )
@@ -79,6 +80,7 @@ __all__ = [
     "once_only",
     "open_count",
     "parse_dates",
+    "parse_ints",
     "pivot_counts",
     "region_spine_counts",
     "relabel",

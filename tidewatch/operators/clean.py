@@ -22,6 +22,11 @@ def parse_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: safe_date(c) for c in cols})
 
 
+def parse_ints(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Whole numbers from text such as ``12`` or ``12.0``; anything else becomes null."""
+    return df.withColumns({c: F.col(c).try_cast("double").cast("int") for c in cols})
+
+
 def columns_of(df: DataFrame, kind: type[T.DataType]) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kind)]
 

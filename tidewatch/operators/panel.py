@@ -113,6 +113,10 @@ def _quoted(names: Sequence[str]) -> list[str]:
     return [f"`{n}`" for n in names]
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def region_spine_counts(
     events: DataFrame,
     spine: DataFrame,
@@ -143,7 +147,7 @@ def region_spine_counts(
     marked = flags.selectExpr(date, *[f"{rule} AS {cell}" for cell, rule in cells.items()])
     wide = spine_counts(marked, spine, date, {cell: F.col(cell) for cell in cells})
     structs = [
-        f"struct('{region}' AS region, "
+        f"struct({_literal(region)} AS region, "
         + ", ".join(f"_c{i}_{j} AS `{name}`" for j, name in enumerate(measures))
         + ")"
         for i, region in enumerate(regions)

@@ -71,6 +71,7 @@ def school_tables(
     previous_cohort: DataFrame | None = None,
     previous_minors: DataFrame | None = None,
     stage: Callable[[DataFrame], DataFrame] | None = None,
+    literal: bool = False,
 ) -> dict[str, DataFrame]:
     """Cohort, panels, summaries and line lists of the school batch.
 
@@ -81,8 +82,8 @@ def school_tables(
     cleaned = stage(extracts.clean_investigations(investigations, home))
     linked = stage(extracts.link_collection_date(cases, cleaned))
     cohort = stage(schools.k12_cohort(linked))
-    by_school = schools.school_panel(cohort, as_of)
-    by_district = schools.district_panel(cohort, as_of)
+    by_school = schools.school_panel(cohort, as_of, literal=literal)
+    by_district = schools.district_panel(cohort, as_of, literal=literal)
     minors = lists.uninvestigated_minors(linked)
     out = {
         "cohort": cohort,

@@ -17,7 +17,13 @@ from ..functions import (
     override_if_in,
     week_floor,
 )
-from ..operators import dedupe_by_priority, fill_blank, link_records, parse_dates
+from ..operators import (
+    dedupe_by_priority,
+    fill_blank,
+    link_records,
+    parse_dates,
+    parse_ints,
+)
 from ..sources.dimensions import dimension_table
 
 # Visit types in order of preference, age bands (upper bound exclusive), the test
@@ -48,7 +54,9 @@ def _with_county(df: DataFrame) -> DataFrame:
 def clean_case_extract(cases: DataFrame) -> DataFrame:
     """Dates parsed, week columns and county names added, missing text blank."""
     dates = ["case_date", "hosp_admit_date", "first_positive_lab"]
-    out = parse_dates(cases, [c for c in dates if c in cases.columns])
+    out = parse_ints(
+        parse_dates(cases, [c for c in dates if c in cases.columns]), ["county", "lhd"]
+    )
     return fill_blank(
         _with_county(
             out.withColumns(
@@ -63,7 +71,7 @@ def clean_case_extract(cases: DataFrame) -> DataFrame:
 
 def clean_death_extract(deaths: DataFrame) -> DataFrame:
     """As for cases; the week is that of the death, the month that of the case."""
-    out = parse_dates(deaths, ["date_of_death", "case_date"])
+    out = parse_ints(parse_dates(deaths, ["date_of_death", "case_date"]), ["county", "lhd"])
     return fill_blank(
         _with_county(
             out.withColumns(
@@ -86,7 +94,8 @@ def clean_test_extract(tests: DataFrame, date: str) -> DataFrame:
 
 def clean_dose_extract(doses: DataFrame) -> DataFrame:
     """Postcode merged, ethnicity and race combined; ages stay numeric."""
-    out = parse_dates(doses, ["vaccine_date"]).withColumns(
+    numbers = ["zipcode", "dose_all", "age_original"]
+    out = parse_ints(parse_dates(doses, ["vaccine_date"]), numbers).withColumns(
         {
             "zipcode_map": override_if_in("zipcode", CAMPUS_ZIPCODES, CITY_ZIPCODE),
             "race_eth": dominant_category("ethnicity", HISPANIC, "race"),
@@ -125,7 +134,7 @@ def clean_investigations(
         if c in kept.columns
     ]
     one = dedupe_by_priority(
-        parse_dates(kept, dates),
+        parse_ints(parse_dates(kept, dates), ["patient_age_at_event_in_years"]),
         "patient_record_number",
         "person_facility_visit_type",
         VISIT_ORDER,

@@ -176,8 +176,7 @@ def cases_weekly(spark, sf_dir):
     return P.cases_weekly(cases(spark, sf_dir), AS_OF, START_DAY)
 
 
-@query(
-    f"""WITH x AS ({DEATHS_SQL}), a AS (SELECT death_month AS month,
+DEATHS_MONTHLY_SQL = f"""WITH x AS ({DEATHS_SQL}), a AS (SELECT death_month AS month,
     count(*) FILTER (patient_died = 'Yes') AS monthly_deaths,
     count(*) FILTER (breakthrough = 'Yes') AS vaccinated,
     count(*) FILTER (breakthrough = 'No') AS unvaccinated FROM x GROUP BY 1),
@@ -185,10 +184,12 @@ def cases_weekly(spark, sf_dir):
     s AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM b),
     p AS (SELECT s.month, coalesce(monthly_deaths, 0) AS monthly_deaths,
     coalesce(vaccinated, 0) AS vaccinated, coalesce(unvaccinated, 0) AS unvaccinated
-    FROM s LEFT JOIN a ON s.month = a.month)
-    SELECT *, {half_even('vaccinated', 'monthly_deaths', 2)} AS vac_perc,
-    {half_even('unvaccinated', 'monthly_deaths', 2)} AS unvax_perc FROM p"""
-)
+    FROM s LEFT JOIN a ON s.month = a.month),
+    panel AS (SELECT *, {half_even('vaccinated', 'monthly_deaths', 2)} AS vac_perc,
+    {half_even('unvaccinated', 'monthly_deaths', 2)} AS unvax_perc FROM p)"""
+
+
+@query(f"{DEATHS_MONTHLY_SQL} SELECT * FROM panel")
 def deaths_monthly(spark, sf_dir):
     return P.deaths_monthly(deaths(spark, sf_dir))
 
@@ -443,16 +444,19 @@ def _count_rows(source: str, name: str) -> str:
     )
 
 
-def _embedded(panel_sql: str, select: str) -> str:
-    return f"SELECT * FROM ({panel_sql} {select})"
+def _last_sql(panel_sql: str, date: str, metric: str, name: str) -> str:
+    return (
+        f"SELECT * FROM ({panel_sql} SELECT region, arg_max({metric}, {date}) AS {name} "
+        "FROM panel GROUP BY 1)"
+    )
 
 
 SCORECARD_SQL = f"""WITH d AS ({_count_rows(DEATHS_SQL, 'total_deaths')}),
     h AS ({_count_rows(f"SELECT * FROM ({CASES_SQL}) WHERE hosp = 'Yes'", 'total_hospitalizations')}),
     c AS ({_count_rows(CASES_SQL, 'total_cases')}),
-    wk AS ({_embedded(CASES_WEEKLY_SQL, "SELECT region, arg_max(weekly_cases, week_of) AS new_weekly_cases FROM panel GROUP BY 1")}),
-    dy AS ({_embedded(CASES_DAILY_SQL, "SELECT region, arg_max(mean_7d, date) AS mean_7d FROM panel GROUP BY 1")}),
-    ps AS ({_embedded(positivity_sql('case_date'), "SELECT region, arg_max(positivity_7d, date) AS positivity_7d FROM panel GROUP BY 1")}),
+    wk AS ({_last_sql(CASES_WEEKLY_SQL, 'week_of', 'weekly_cases', 'new_weekly_cases')}),
+    dy AS ({_last_sql(CASES_DAILY_SQL, 'date', 'mean_7d', 'mean_7d')}),
+    ps AS ({_last_sql(positivity_sql('case_date'), 'date', 'positivity_7d', 'positivity_7d')}),
     card AS (SELECT region, total_deaths, total_hospitalizations, total_cases, new_weekly_cases,
     mean_7d, positivity_7d, CAST({_ORDER_CASE} AS INTEGER) AS position FROM d JOIN h USING (region)
     JOIN c USING (region) JOIN wk USING (region) JOIN dy USING (region) JOIN ps USING (region))"""
@@ -563,6 +567,7 @@ PANELS = {
 _LABELS = {lang: labels(lang) for lang in ("en", "es")}
 _PANEL_SQL = {
     "deaths_weekly": DEATHS_WEEKLY_SQL,
+    "deaths_monthly": DEATHS_MONTHLY_SQL,
     "hospital_weekly": HOSPITAL_WEEKLY_SQL,
     "cases_weekly": CASES_WEEKLY_SQL.replace(
         "panel AS (SELECT * EXCLUDE (s4),",
@@ -594,9 +599,10 @@ def _chart_sql(name: str, lang: str) -> str:
             f"CAST({chart.metrics[0]} AS DOUBLE) AS value, {late} AS provisional FROM panel "
             f"WHERE {where} AND {chosen}"
         )
+    district = "TRUE" if chart.panel == "deaths_monthly" else "region = 'District'"
     parts = " UNION ALL ".join(
         f"SELECT {chart.x} AS x, '{text[m]}' AS series, CAST({m} AS DOUBLE) AS value, "
-        f"{late} AS provisional FROM panel WHERE region = 'District'"
+        f"{late} AS provisional FROM panel WHERE {district}"
         for m in chart.metrics
     )
     return f"{head} {parts}"
@@ -614,14 +620,6 @@ def _register_chart(name: str, lang: str) -> None:
     query(_chart_sql(name, lang), name=f"chart_{name}_{lang}")(run)
 
 
-# One chart per shape; the others differ only in the columns they pick.
-for _name, _lang in (
-    ("weekly_deaths", "en"),
-    ("hospitalizations_by_age", "es"),
-    ("cases_by_reinfection", "es"),
-    ("cases_per_capita", "en"),
-    ("cities", "en"),
-    ("daily_tests", "es"),
-    ("coverage_complete", "en"),
-):
-    _register_chart(_name, _lang)
+# Every chart, in alternating languages: those differ in the labels alone.
+for _position, _name in enumerate(P.CHARTS):
+    _register_chart(_name, ("en", "es")[_position % 2])
