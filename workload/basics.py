@@ -966,8 +966,8 @@ def once_only(spark, sf_dir):
     f"""{_SNAPS} SELECT coalesce(c.o_orderkey, p.o_orderkey) AS o_orderkey,
     CASE WHEN p.o_orderkey IS NULL THEN 'new' WHEN c.o_orderkey IS NULL THEN 'removed'
     WHEN c.o_orderstatus <> p.o_orderstatus THEN 'changed' ELSE 'unchanged' END AS change,
-    CASE WHEN c.o_orderkey IS NULL THEN 0 ELSE 1 END AS rows_current,
-    CASE WHEN p.o_orderkey IS NULL THEN 0 ELSE 1 END AS rows_previous
+    CAST(CASE WHEN c.o_orderkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS rows_current,
+    CAST(CASE WHEN p.o_orderkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS rows_previous
     FROM c FULL JOIN p ON c.o_orderkey = p.o_orderkey"""
 )
 def classify_delta(spark, sf_dir):

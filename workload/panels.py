@@ -43,7 +43,7 @@ _COUNTY = (
 )
 _REGION_ROWS = ", ".join(f"('{r}')" for r in REGIONS)
 POPULATION_SQL = "(VALUES " + ", ".join(
-    f"('{r['region']}', {r['population']})" for r in dimension_table("population").to_pylist()
+    f"('{r['region']}', {r['population']}::BIGINT)" for r in dimension_table("population").to_pylist()
 ) + ") AS pop(region, population)"
 
 
@@ -305,7 +305,7 @@ def link_collection_date(spark, sf_dir):
 
 
 _CITIES = ", ".join(
-    f"('{r['city']}', {r['population']})" for r in dimension_table("city_population").to_pylist()
+    f"('{r['city']}', {r['population']}::BIGINT)" for r in dimension_table("city_population").to_pylist()
 )
 CITY_DAILY_SQL = f"""WITH x AS ({INVESTIGATIONS_SQL}), s AS (SELECT CAST(unnest(generate_series(
     DATE '{START}', max(covid_case_date), INTERVAL 1 DAY)) AS DATE) AS date FROM x),
