@@ -104,3 +104,16 @@ def test_across(spark, rows):
 def test_distinct_on_keeps_the_best(spark, rows):
     df = spark.createDataFrame([(1, 5), (1, 9), (2, 3)], "k int, v int")
     assert rows(O.distinct_on(df, "k", [F.desc("v")])) == [(1, 9), (2, 3)]
+
+
+def test_nothing_to_fill(spark, rows):
+    df = spark.createDataFrame([(1,), (None,)], "n int")
+    assert rows(O.fill_blank(df)) == [(None,), (1,)]
+    text = spark.createDataFrame([("a",), (None,)], "t string")
+    assert rows(O.fill_zero(text)) == [(None,), ("a",)]
+    assert rows(O.across_numeric(text, lambda c: c + 1)) == [(None,), ("a",)]
+
+
+def test_parse_ints(spark, rows):
+    df = spark.createDataFrame([("12",), ("12.0",), ("",), ("x",), (None,)], "t string")
+    assert rows(O.parse_ints(df, ["t"])) == [(None,), (None,), (None,), (12,), (12,)]

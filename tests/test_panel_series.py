@@ -110,6 +110,25 @@ def test_region_rules_need_not_add_up(spark):
     }
 
 
+def test_region_names_may_hold_quotes(spark):
+    df = spark.createDataFrame([(START, 1)], "date date, n int")
+    panel = O.region_spine_counts(
+        df, date_spine(spark, START, START), "date", {"O'Brien \\ Co": F.lit(True)}, {"n": F.lit(True)}
+    )
+    assert [tuple(r) for r in panel.collect()] == [(START, "O'Brien \\ Co", 1)]
+
+
+def test_disjoint_bands_add_up(spark):
+    data, df = events(spark, 120, seed=5)
+    spine = date_spine(spark, START, END)
+    bands = {"yes": F.col("hit"), "no": ~F.col("hit"), "all": F.lit(True)}
+    panel = O.cumulative(O.spine_counts(df, spine, "date", bands), {"all": "total"}, "date")
+    got = panel.orderBy("date").collect()
+    assert all(r.yes + r.no == r["all"] for r in got)
+    assert got[-1].total == sum(r["all"] for r in got)
+    assert got[-1].total == sum(d is not None and START <= d <= END for d, _, _ in data)
+
+
 def series(spark, values):
     data = [("e", START + dt.timedelta(days=i), v) for i, v in enumerate(values)]
     return spark.createDataFrame(data, "entity string, date date, n long")

@@ -84,33 +84,21 @@ def fill_gaps(counts: DataFrame, date: str, step: str, by: Keys | None = None) -
 def spine_counts(
     events: DataFrame, spine: DataFrame, on: Keys, measures: Mapping[str, Column]
 ) -> DataFrame:
-    """Counts (or sums) per spine row in a single aggregation, without a join.
+    """Counts (or sums) per spine row; gaps are 0, events outside the spine drop out.
 
-    A measure is a predicate to count or a whole number to add up. The spine takes part as rows
-    that add nothing, which fills the gaps; groups no spine row belongs to are events outside
-    the spine and drop out.
+    A measure is a predicate to count or a whole number to add up. The events are aggregated
+    before they meet the spine, so only counts take part in the join, and Spark broadcasts those
+    if they turn out small.
     """
     keys = _keys(on)
     rows = events.select(*keys, *[m.alias(n) for n, m in measures.items()])
-    counted = [
-        f"CAST(CASE WHEN `{n}` THEN 1 ELSE 0 END AS BIGINT) AS `{n}`"
+    totals = [
+        f"count_if(`{n}`) AS `{n}`"
         if isinstance(rows.schema[n].dataType, T.BooleanType)
-        else f"CAST(`{n}` AS BIGINT) AS `{n}`"
+        else f"CAST(sum(`{n}`) AS BIGINT) AS `{n}`"
         for n in measures
     ]
-    rows = rows.selectExpr(*_quoted(keys), *counted, "0L AS _spine")
-    gaps = spine.selectExpr(*_quoted(keys), *[f"0L AS `{n}`" for n in measures], "1L AS _spine")
-    return (
-        rows.unionByName(gaps)
-        .groupBy(*keys)
-        .sum(*measures, "_spine")
-        .filter("`sum(_spine)` > 0")
-        .selectExpr(*_quoted(keys), *[f"`sum({n})` AS `{n}`" for n in measures])
-    )
-
-
-def _quoted(names: Sequence[str]) -> list[str]:
-    return [f"`{n}`" for n in names]
+    return fill_spine(spine, rows.groupBy(*keys).agg(*map(F.expr, totals)), keys)
 
 
 def _literal(text: str) -> str:
@@ -140,12 +128,12 @@ def region_spine_counts(
     )
     place = {pair: f"_o{k}" for k, pair in enumerate(overrides)}
     cells = {
-        f"_c{i}_{j}": place.get((region, name), f"(_r{i} AND _m{j})")
+        f"_c{i}_{j}": place.get((region, name), f"_r{i} AND _m{j}")
         for i, region in enumerate(regions)
         for j, name in enumerate(measures)
     }
-    marked = flags.selectExpr(date, *[f"{rule} AS {cell}" for cell, rule in cells.items()])
-    wide = spine_counts(marked, spine, date, {cell: F.col(cell) for cell in cells})
+    totals = [F.expr(f"count_if({rule}) AS {cell}") for cell, rule in cells.items()]
+    wide = fill_spine(spine, flags.groupBy(date).agg(*totals), date)
     structs = [
         f"struct({_literal(region)} AS region, "
         + ", ".join(f"_c{i}_{j} AS `{name}`" for j, name in enumerate(measures))

@@ -95,10 +95,6 @@ def coverage_panel(
     grid = dense_grid(coverage_grid(population), start, as_of)
     panel = spine_counts(members, grid, on, {"doses": F.col("n")})
     panel = cumulative(panel, {"doses": "total"}, "date", ["region", "dose", "band"])
-    people = population.select("region", "band", "population")
-    return (
-        panel.join(people, ["region", "band"], "left")
-        .withColumn("population", F.when(F.col("dose") != "total", F.col("population")))
-        .withColumn("percent", safe_ratio("total", "population", scale=100, digits=2))
-        .select(*on, "doses", "total", "population", "percent")
-    )
+    return panel.withColumn(
+        "percent", safe_ratio("total", "population", scale=100, digits=2)
+    ).select(*on, "doses", "total", "population", "percent")

@@ -154,14 +154,10 @@ def school_panel(
     ``literal`` counts recoveries out even when the onset lies before the panel.
     """
     schools = schools or dimension(cohort.sparkSession, "school")
-    grid = dense_grid(schools.select("school"), start, as_of)
+    grid = dense_grid(schools.select("school", "enrollment", "district"), start, as_of)
     student = is_student_age()
     daily = _daily(cohort, grid, "school", literal, student, student)
-    out = _panel(
-        daily.join(schools.select("school", "enrollment", "district"), "school"),
-        "school",
-        literal,
-    )
+    out = _panel(daily, "school", literal)
     out = trailing_mean(out, {"new_cases": "five_day_average"}, MEAN_DAYS, "date", "school")
     out = out.withColumn(
         "incidence_per_1000", rate("five_day_average", "enrollment", per=1_000)
@@ -208,13 +204,11 @@ def district_panel(
     counts entries by role and exits by age, which can drive the threshold count below zero.
     """
     districts = districts or dimension(cohort.sparkSession, "school_district")
-    grid = dense_grid(districts.select("district"), start, as_of)
+    grid = dense_grid(districts.select("district", "enrollment"), start, as_of)
     student_in = is_student_type() if student is None else student
     student_out = is_student_age() if literal else student_in
     daily = _daily(cohort, grid, "district", literal, student_in, student_out)
-    out = _panel(
-        daily.join(districts.select("district", "enrollment"), "district"), "district", literal
-    )
+    out = _panel(daily, "district", literal)
     return out.withColumnRenamed("district", "school").select(
         "date",
         "new_student_cases",
