@@ -36,15 +36,15 @@ def build_session(
 def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``fallback`` is used only where the session names none, as in tests.
+    Where the session names none, as in tests, ``fallback`` or a folder in the warehouse is used:
+    never a machine-local temporary folder.
     """
     folder = (
         spark.conf.get("spark.checkpoint.dir", None)
         or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         or fallback
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     )
-    if folder is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
     return folder.rstrip("/")
 
 
