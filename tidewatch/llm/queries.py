@@ -34,6 +34,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles agree to 90 percent."""
+    from .ngram_join import linked
+
+    return linked(read(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=90)
+
+
 @query
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as shards with a keyed index, and read back by key."""
@@ -59,3 +67,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts(docs, vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the window that is most like it."""
+    from .decontaminate import matches
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return matches(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
