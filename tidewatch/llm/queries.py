@@ -76,3 +76,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return matches(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log-probabilities of each document."""
+    from .lm_score import scores
+
+    return scores(read(spark, sf_dir, "documents", "doc_id", "text"))
