@@ -294,10 +294,10 @@ def write_index(manifest: DataFrame, uri: str, buckets: int) -> DataFrame:
         col = lambda c: rows.column(c).to_numpy()
         raw = Index.pack(_hashes(rows), col("shard"), col("offset"), col("n_tokens"))
         write_once(index_name(uri, bucket), raw)
-        return pa.table({"bucket": [bucket], "n_keys": [rows.num_rows]})
+        return pa.table({"n_keys": [rows.num_rows]})
 
     keyed = manifest.withColumn("bucket", bucket_of(buckets))
-    return keyed.groupBy("bucket").applyInArrow(build, "bucket int, n_keys long")
+    return keyed.groupBy("bucket").applyInArrow(build, "n_keys long")
 
 
 def bucket_of(buckets: int):
