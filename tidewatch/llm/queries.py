@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secret_scan
 from .spark_io import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +85,14 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import scores
 
     return scores(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document, found through a trigram index."""
+    from .secret_scan import scan
+
+    return scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE["op5_secret_scan"] = secret_scan.oracle_sql()
