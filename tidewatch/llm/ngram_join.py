@@ -32,7 +32,7 @@ from .spark_io import staged, text_rows
 
 #: Sets and bytes of arrays in one block of a tile.
 BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
-_U = np.uint64
+_U, _WORD = np.uint64, r"[^\x20\x09-\x0D]"
 
 
 def bands(percent: int, largest: int = 1 << 40, growth: float = 1.4) -> list[tuple[int, int]]:
@@ -89,7 +89,7 @@ def part_keys(grams: np.ndarray, schemes: list[tuple[int, int]], percent: int) -
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
-_SETS = "doc_id long, n long, d1 long, d2 long, keys array<long>"
+_SETS = "doc_id long, h long, n long, d1 long, d2 long, keys array<long>"
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -112,10 +112,10 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 size = np.array([0, *np.cumsum([len(x) for x in keys])], np.int32)
                 flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").slice(i, j - i), pa.array(np.diff(first)),
-                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    [rows.column("doc_id").slice(i, j - i), rows.column("h").slice(i, j - i),
+                     pa.array(np.diff(first)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(size), pa.array(flat))],
-                    ["doc_id", "n", "d1", "d2", "keys"],
+                    ["doc_id", "h", "n", "d1", "d2", "keys"],
                 )
 
     return docs.mapInArrow(run, _SETS)
@@ -241,21 +241,44 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     return _tile_links(members, percent)
 
 
-def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest linked id) of every document."""
-    docs = text_rows(docs, F.col("doc_id").cast("long"))
-    named = docs.filter("doc_id is not null")
+def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with the label of their component, and those that link with nothing."""
+    docs = text_rows(docs, F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
     sets = staged(_sets(docs, n, percent), "sets")
     known = sets.filter("doc_id is not null")
-    edges = _links(named, known, n, percent)
+    edges = _links(docs.filter("doc_id is not null"), known, n, percent)
     labels = staged(components(edges), "labels")
     rows = known.filter("n > 0").withColumn("node", _node()).join(labels, "node", "left").select(
-        "doc_id", "n", F.coalesce("label", "node").alias("label")
+        "doc_id", "h", "n", F.coalesce("label", "node").alias("label")
     )
-    rows = staged(rows, "labelled")
+    return staged(rows, "labelled"), sets.filter("n = 0 or doc_id is null")
+
+
+def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest linked id) of every document."""
+    rows, alone = _labelled(docs, n, percent)
     least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     whole = rows.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.filter("n = 0 or doc_id is null").select(
+    return whole.unionByName(alone.select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
+    ))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, that with the smallest id; columns as they are.
+
+    Of rows equal in id and text one stays. Documents that link with nothing stay, each of them.
+    """
+    rows, _ = _labelled(docs, n, percent)
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("one")).select(
+        F.col("one.doc_id").alias("id1"), F.col("one.h").alias("h1")
+    )
+    names = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*names).alias("row"), "doc_id", F.xxhash64(text).alias("h1"),
+                        (F.col("doc_id").isNotNull() & text.rlike(_WORD)).alias("linkable"))
+    kept = (
+        whole.filter("linkable").withColumn("id1", F.col("doc_id").cast("long"))
+        .join(first, ["id1", "h1"]).groupBy("id1", "h1").agg(F.first("row").alias("row"))
     )
-    return whole.unionByName(alone)
+    return kept.select("row").unionByName(whole.filter("not linkable").select("row")).select("row.*")

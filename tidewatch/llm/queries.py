@@ -96,3 +96,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_secret_scan"] = secret_scan.oracle_sql()
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source weights that repeat no source more than 1.37 times."""
+    from .mixing import MIXED, mix
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mix(docs, max_repeats=1.37).select("doc_id", "source", *MIXED)
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL, by rules and by two character models."""
+    from .url_filter import judge
+
+    return judge(read(spark, sf_dir, "pages", "page_id", "url"))
