@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import drop, staged
+from .spark_io import drop, split_join, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,12 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.filter("v > u").join(low, "u")
+            split_join(both.filter("v > u"), low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            split_join(large, least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         )
         after = staged(small, "edges")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scan import EXACT, LOWER, groups, mix, segment_keys, utf8, windows, words
-from .spark_io import staged, text_rows
+from .spark_io import split_join, staged, text_rows
 
 #: Sets and bytes of arrays in one block of a tile.
 BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
@@ -208,7 +208,7 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
         posts.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
         .filter("lo <> hi").select("key")
     )
-    tiles = staged(posts.join(shared, "key", "left_semi").distinct(), "tiles")
+    tiles = staged(split_join(posts, shared, "key", "left_semi").distinct(), "tiles")
     # Of the tiles with equal members one is enough.
     shape = tiles.groupBy("key").agg(
         F.count("*").alias("m"),
@@ -219,7 +219,7 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     tiles2 = staged(tiles.join(chosen, "key"), "chosen")
     needed = tiles2.select("d1").distinct()
     one_each = (
-        sets.filter("n > 0").join(needed, "d1", "left_semi").groupBy("d1", "d2")
+        split_join(sets.filter("n > 0"), needed, "d1", "left_semi").groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     )
     arrays = staged(_arrays(docs.join(one_each, "doc_id"), n).withColumn("node", _node()), "arrays")
@@ -258,7 +258,7 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (smallest linked id) of every document."""
     rows, alone = _labelled(docs, n, percent)
     least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    whole = rows.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    whole = split_join(rows, least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return whole.unionByName(alone.select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     ))

@@ -41,6 +41,17 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def split_join(rows: DataFrame, other: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Join in which adaptive execution can split a hot key of ``rows``.
+
+    It leaves a shuffle alone that an aggregation on the same key uses as well; with the keys
+    wrapped, both sides are shuffled for the join itself. Null keys equal each other.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    other = other.withColumn("_key", F.struct(*keys)).drop(*keys)
+    return rows.withColumn("_key", F.struct(*keys)).join(other, "_key", how).drop("_key")
+
+
 def text_rows(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The given columns and the text, a null as an empty text."""
     return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
