@@ -9,12 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from workload import ORACLE, QUERIES
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 from check import TABLES, canonical  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")

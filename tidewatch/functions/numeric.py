@@ -38,5 +38,6 @@ def rate(n: ColumnOrName, population: ColumnOrName, per: int = 100_000, digits:
 
 
 def int_trunc(c: ColumnOrName) -> Column:
-    """Integer part, towards zero."""
-    return _col(c).cast("int")
+    """Integer part, towards zero; null for NaN and for what 32 bits cannot hold."""
+    x = _col(c)
+    return F.when((x > -(2**31) - 1) & (x < 2**31), x).try_cast("int")

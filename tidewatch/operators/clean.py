@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import first_match, safe_date
+from ..functions import first_match, int_trunc, safe_date
 
 Keys = str | Sequence[str]
 
@@ -23,8 +23,11 @@ def parse_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def parse_ints(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Whole numbers from text such as ``12`` or ``12.0``; anything else becomes null."""
-    return df.withColumns({c: F.col(c).try_cast("double").cast("int") for c in cols})
+    """Whole numbers from text such as ``12`` or ``12.0``; anything else becomes null.
+
+    Anything else is text that is no number, NaN, and numbers beyond 32 bits.
+    """
+    return df.withColumns({c: int_trunc(F.col(c).try_cast("double")) for c in cols})
 
 
 def columns_of(df: DataFrame, kind: type[T.DataType]) -> list[str]:
@@ -54,8 +57,16 @@ def across_matching(df: DataFrame, pattern: str, fn: Callable[[Column], Column])
 
 
 def _total_order(df: DataFrame) -> list[Column]:
-    """An order that depends on row content only, so a repartitioning cannot change it."""
-    return [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    """An order that depends on row content only, so a repartitioning cannot change it.
+
+    Rows that tie are equal in every column.
+    """
+    out = []
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        plain = isinstance(f.dataType, (T.AtomicType, T.StructType, T.ArrayType))
+        out.append((col if plain else F.to_json(col)).asc_nulls_first())
+    return out
 
 
 def _first_per_key(df: DataFrame, key: Keys, order: Sequence[Column]) -> DataFrame:

@@ -84,21 +84,17 @@ def link_records(
 def natural_full_join(left: DataFrame, right: DataFrame, copies: str = "copies") -> DataFrame:
     """Full outer join on every column the two frames share; nulls equal nulls.
 
-    Equal rows are counted per side, so no pairs are formed: each distinct row comes out once,
-    and ``copies`` says how often a join would repeat it (m*n for m left and n right rows, or
-    the plain count where one side lacks it). Columns only one side has must depend on the
-    shared ones.
+    Equal rows are counted per side first and joined once: each distinct joined row comes out
+    once, and ``copies`` says how often a join would repeat it (m*n for m equal left and n equal
+    right rows, or the plain count where one side lacks it).
     """
     common = _shared(left, right)
-    only_left = [c for c in left.columns if c not in common]
-    only_right = [c for c in right.columns if c not in common]
-    both = (F.col("_m") > 0) & (F.col("_n") > 0)
+    a = left.groupBy(*left.columns).agg(F.count("*").alias("_m"))
+    b = right.groupBy(*right.columns).agg(F.count("*").alias("_n"))
+    one = F.lit(1)
     return (
-        side_counts(left, right, common, only_left, only_right)
-        .withColumn(
-            copies,
-            F.when(both, F.col("_m") * F.col("_n")).otherwise(F.col("_m") + F.col("_n")),
-        )
+        link_records(a, b, common, "full", null_safe=True)
+        .withColumn(copies, F.coalesce("_m", one) * F.coalesce("_n", one))
         .drop("_m", "_n")
     )
 
@@ -117,7 +113,10 @@ def side_counts(
     extra_left: Sequence[str] = (),
     extra_right: Sequence[str] = (),
 ) -> DataFrame:
-    """Each distinct shared row with ``_m`` copies on the left and ``_n`` on the right."""
+    """Each distinct shared row with ``_m`` copies on the left and ``_n`` on the right.
+
+    The extra columns are those of the one copy; where there are several they mean nothing.
+    """
     a = left.select(*common, *extra_left, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
     b = right.select(*common, *extra_right, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     extras = [F.max(c).alias(c) for c in (*extra_left, *extra_right)]

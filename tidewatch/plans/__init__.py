@@ -1,6 +1,6 @@
 """Surveillance jobs: each takes frames and a run date and returns lazy result tables."""
 
-from .batches import nightly_tables, school_tables
+from .batches import nightly_tables, run_nightly, run_schools, school_tables
 from .charts import CHARTS, chart_tables
 from .coverage import coverage_panel
 from .extracts import (
@@ -60,6 +60,8 @@ __all__ = [
     "minors_delta",
     "missing_school",
     "nightly_tables",
+    "run_nightly",
+    "run_schools",
     "positivity_daily",
     "regional_scorecard",
     "school_panel",

@@ -25,6 +25,7 @@ from ..operators import (
     parse_ints,
 )
 from ..sources.dimensions import dimension_table
+from ..sources.extracts import INPUT_ORDER
 
 # Visit types in order of preference, age bands (upper bound exclusive), the test
 # results and type that count, and the campus postcodes merged into the city's.
@@ -35,8 +36,8 @@ AGE_LABELS = (
 )
 TEST_RESULTS = ("POSITIVE", "NEGATIVE")
 TEST_TYPE = "PCR/amplification"
-CAMPUS_ZIPCODES = (84322, 84323)
-CITY_ZIPCODE = 84321
+CAMPUS_ZIPCODES = ("84322", "84323")
+CITY_ZIPCODE = "84321"
 HISPANIC = "Hispanic or Latino"
 
 
@@ -93,11 +94,14 @@ def clean_test_extract(tests: DataFrame, date: str) -> DataFrame:
 
 
 def clean_dose_extract(doses: DataFrame) -> DataFrame:
-    """Postcode merged, ethnicity and race combined; ages stay numeric."""
-    numbers = ["zipcode", "dose_all", "age_original"]
+    """Postcode merged, ethnicity and race combined; ages stay numeric, postcodes are text."""
+    numbers = ["dose_all", "age_original"]
     out = parse_ints(parse_dates(doses, ["vaccine_date"]), numbers).withColumns(
         {
-            "zipcode_map": override_if_in("zipcode", CAMPUS_ZIPCODES, CITY_ZIPCODE),
+            "zipcode": F.col("zipcode").cast("string"),
+            "zipcode_map": override_if_in(
+                F.col("zipcode").cast("string"), CAMPUS_ZIPCODES, CITY_ZIPCODE
+            ),
             "race_eth": dominant_category("ethnicity", HISPANIC, "race"),
         }
     )
@@ -113,16 +117,23 @@ def clean_investigations(
 ) -> DataFrame:
     """Confirmed cases and deaths of the home jurisdiction, one row per record.
 
-    An inpatient record wins over other visit types; pass ``("input_order",)`` as ``tiebreak``
-    to keep the first of equals as the files have them.
+    An inpatient record wins over other visit types. Ties follow ``tiebreak``; without one, extracts
+    read with ``input_order=True`` keep the first of equals as the files have them, and others go
+    by row content. The input order itself is dropped.
     """
-    kept = fill_blank(investigations).filter(
-        F.col("patient_jurisdiction_of_residence").isin(home, "")
-        & (
-            (F.col("patient_state_case_status") == "Confirmed")
-            | (F.col("condition_caused_death") == "Yes")
+    residence = F.col("patient_jurisdiction_of_residence")
+    # On the columns as they are read, so that the filter reaches the scan; blanks are filled after.
+    kept = fill_blank(
+        investigations.filter(
+            (residence.isNull() | residence.isin(home, ""))
+            & (
+                (F.col("patient_state_case_status") == "Confirmed")
+                | (F.col("condition_caused_death") == "Yes")
+            )
         )
     )
+    if not tiebreak and INPUT_ORDER in kept.columns:
+        tiebreak = (INPUT_ORDER,)
     dates = [
         c
         for c in (
@@ -139,7 +150,7 @@ def clean_investigations(
         "person_facility_visit_type",
         VISIT_ORDER,
         tiebreak,
-    )
+    ).drop(INPUT_ORDER)
     return one.withColumns(
         {
             "week_of": week_floor("covid_case_date"),
@@ -156,10 +167,13 @@ def clean_investigations(
     )
 
 
+LAB_COLUMNS = ("patient_record_number", "first_positive_lab", "case_onset_date")
+
+
 def link_collection_date(cases: DataFrame, investigations: DataFrame) -> DataFrame:
     """Full linkage on the record number, adding the test collection date of the case extract."""
     lab = parse_dates(
-        cases.select("patient_record_number", "first_positive_lab", "case_onset_date"),
+        cases.select(*LAB_COLUMNS),
         ["first_positive_lab", "case_onset_date"],
     )
     return link_records(lab, investigations, "patient_record_number", right_unique=True)

@@ -215,7 +215,8 @@ def adults_to_reroute(
         admitted, "exposure_place_school_district", "left_semi"
     )
     kept = kept.select(*pending.columns).unionByName(pending.filter(place == ""))
-    return distinct_on(kept, "patient_record_number").select(*SLICE)
+    # The earliest case of a record; rows that tie in the columns listed are equal in the result.
+    return distinct_on(kept.select(*SLICE), "patient_record_number", ["covid_case_date", *SLICE])
 
 
 def school_slice(

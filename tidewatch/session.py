@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,6 @@ DEFAULTS = {
     "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -48,13 +48,43 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     return folder.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The Hadoop file system of a path, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``; none if it does not exist."""
+    fs, where = file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory())
+
+
+# Folders that ``stage`` has written and ``clear_staged`` has not removed yet.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Write out a frame several outputs are computed from, and go on from the files.
 
     The table lies in the shared folder, so it outlives any executor; being columnar, it is read
-    back only as far as each output needs.
+    back only as far as each output needs. Call ``clear_staged`` when the outputs are written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark, fallback_dir)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove the files of all staged frames; they hold line-level records."""
+    while _STAGED:
+        remove(spark, _STAGED.pop())

@@ -6,6 +6,7 @@ from .extracts import (
     normalize_columns,
     read_extract,
     read_snapshot,
+    snapshot_dates,
     with_input_order,
 )
 from .sinks import commit_snapshot, publish, write_by_recipient, write_extract
@@ -22,6 +23,7 @@ __all__ = [
     "publish",
     "read_extract",
     "read_snapshot",
+    "snapshot_dates",
     "spine_between",
     "with_input_order",
     "write_by_recipient",

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import date_lit
+from ..functions import as_date
+from ..session import folders
 
 INPUT_ORDER = "input_order"
 
@@ -47,18 +48,31 @@ def read_extract(
     drop_first: bool = False,
     normalize: bool = True,
     input_order: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Header CSV with ``NA`` as null.
+    """Header CSV with ``NA`` as null and doubled quotes inside quoted text.
 
     Without a schema every column is read as text, which spares the extra pass type inference
-    costs; cast the columns you need. ``schema`` names and types the columns by position.
-    ``drop_first`` drops the row-number column some exports lead with. Unquoted blanks arrive
-    as null: see ``operators.fill_blank``.
+    costs; cast the columns you need. ``schema`` names and types the columns by position; a value
+    its type cannot hold is null. ``drop_first`` drops the row-number column some exports lead
+    with. Unquoted blanks arrive as null: see ``operators.fill_blank``.
+
+    Text with line breaks needs ``multi_line``, which reads each file in one task, so deliver
+    large extracts as many files. Without it a record broken over lines stops the job.
     """
-    reader = spark.read.option("header", True).option("nullValue", "NA")
+    reader = (
+        spark.read.option("header", True).option("nullValue", "NA").option("quote", '"')
+        .option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST")
+        .option("columnPruning", False)
+    )
+    types = None
     if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", True)
+        types = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in types.fields])
+        reader = reader.schema(text).option("enforceSchema", True)
     df = reader.csv(path)
+    if types is not None:
+        df = df.withColumns({f.name: _typed(f) for f in types.fields})
     names = df.columns
     if input_order:
         df = with_input_order(df)
@@ -67,20 +81,42 @@ def read_extract(
     return normalize_columns(df) if normalize else df
 
 
+def _typed(field: T.StructField) -> Column:
+    return F.col(f"`{field.name}`").try_cast(field.dataType)
+
+
+_SNAPSHOT = re.compile(r"snapshot_date=(\d{4}-\d{2}-\d{2})")
+
+
+def snapshot_dates(spark: SparkSession, path: str) -> list[dt.date]:
+    """Days that have a snapshot, by the folders there are; no rows are read."""
+    found = (_SNAPSHOT.fullmatch(name) for name in folders(spark, path))
+    return sorted(dt.date.fromisoformat(m[1]) for m in found if m)
+
+
 def latest_snapshot_date(spark: SparkSession, path: str, before: dt.date | str) -> dt.date | None:
-    """Newest ``snapshot_date`` earlier than ``before``; reads the partition column only."""
-    row = (
-        spark.read.parquet(path)
-        .filter(F.col("snapshot_date") < date_lit(before))
-        .agg(F.max("snapshot_date").alias("d"))
-        .first()
-    )
-    return row.d
+    """Newest day with a snapshot earlier than ``before``."""
+    return max((d for d in snapshot_dates(spark, path) if d < as_date(before)), default=None)
+
 
+def read_snapshot(
+    spark: SparkSession,
+    path: str,
+    before: dt.date | str,
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """The newest snapshot earlier than ``before``, also if it has no rows.
 
-def read_snapshot(spark: SparkSession, path: str, before: dt.date | str) -> DataFrame:
-    """The newest snapshot earlier than ``before``, as one pruned partition."""
+    Where there is none yet, as on a first run, the result is an empty frame of ``schema``, or of
+    the columns a later snapshot has.
+    """
     newest = latest_snapshot_date(spark, path, before)
-    df = spark.read.parquet(path)
-    chosen = F.lit(False) if newest is None else F.col("snapshot_date") == date_lit(newest)
-    return df.filter(chosen).drop("snapshot_date")
+    if newest is not None:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(f"{path}/snapshot_date={newest.isoformat()}")
+    if schema is None:
+        later = snapshot_dates(spark, path)
+        if not later:
+            raise ValueError(f"no snapshot under {path}; pass the schema of the first run")
+        schema = spark.read.parquet(f"{path}/snapshot_date={later[0].isoformat()}").schema
+    return spark.createDataFrame([], schema)

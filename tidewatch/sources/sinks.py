@@ -3,62 +3,105 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
-from ..functions import as_date, date_lit
+from ..functions import as_date
+from ..session import file_system, folders, remove
+
+
+def _csv(df: DataFrame) -> DataFrameWriter:
+    # Quotes inside a value are doubled, not escaped by a backslash.
+    return (
+        df.write.mode("overwrite").option("header", True).option("nullValue", "NA")
+        .option("quote", '"').option("escape", '"').option("escapeQuotes", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    )
 
 
 def write_extract(df: DataFrame, path: str) -> None:
-    """Header CSV, nulls as ``NA``; one file per partition."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    """Header CSV, nulls as ``NA``, quotes doubled; one file per partition."""
+    _csv(df).csv(path)
 
 
-def write_by_recipient(df: DataFrame, path: str, key: str = "recipient") -> None:
+def write_by_recipient(
+    df: DataFrame, path: str, key: str = "recipient", recipients: Iterable[str] = ()
+) -> None:
     """One folder of CSV files per recipient, in a single job.
 
-    The rebalance hint gathers a small recipient into one file and splits a large one over
-    several tasks, so no recipient has to fit a task.
+    Whatever an earlier run left under ``path`` goes, so nobody is sent old rows. Each of
+    ``recipients`` without rows gets a file with the header alone. The rebalance hint gathers a
+    small recipient into one file and splits a large one over several tasks, so no recipient has
+    to fit a task.
     """
+    spark = df.sparkSession
     (
-        df.hint("rebalance", key)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("nullValue", "NA")
-        .partitionBy(key)
-        .csv(path)
-    )
+        _csv(df.hint("rebalance", key)).option("partitionOverwriteMode", "static")
+        .partitionBy(key).csv(path)
+    )
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    there = set(folders(spark, path))
+    header = spark.createDataFrame([], df.drop(key).schema).coalesce(1)
+    for name in recipients:
+        folder = f"{key}={escape(name)}"
+        if folder not in there:
+            _csv(header).csv(f"{path}/{folder}")
+
+
+def _swap(spark: SparkSession, new: str, place: str) -> None:
+    """Put a written folder in the place of another."""
+    remove(spark, place)
+    fs, source = file_system(spark, new)
+    _, target = file_system(spark, place)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {new} to {place}")
 
 
 def publish(
-    tables: Mapping[str, DataFrame], base: str, as_of: dt.date | str, lang: str = "en"
+    tables: Mapping[str, DataFrame],
+    base: str,
+    as_of: dt.date | str,
+    lang: str = "en",
+    order: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, str]:
-    """Write each table as a dated copy, then refresh the ``latest`` copy from it.
+    """Write each table as a dated copy, then refresh the ``latest`` copies together.
 
-    The language is part of the path, so two languages never overwrite each other. The latest
-    copy is read back from the dated one, which spares computing the table twice.
+    The latest copies are read back from the dated ones, which spares computing a table twice, and
+    are swapped in only when all of them are written: a failure on the way leaves the old bundle.
+    Tables named in ``order`` are sorted by those columns. The language is part of the path, so
+    two languages never overwrite each other; the tables are published as they are (see
+    ``operators.relabel`` for labels).
     """
-    written = {}
+    written, order = {}, order or {}
     for name, df in tables.items():
         dated = f"{base}/{lang}/as_of={as_date(as_of).isoformat()}/{name}"
-        df.write.mode("overwrite").parquet(dated)
-        df.sparkSession.read.parquet(dated).write.mode("overwrite").parquet(
-            f"{base}/{lang}/latest/{name}"
-        )
+        rows = df.orderBy(*order[name]) if name in order else df
+        rows.write.mode("overwrite").parquet(dated)
         written[name] = dated
+    if not written:
+        return written
+    spark = next(iter(tables.values())).sparkSession
+    latest = f"{base}/{lang}/latest"
+    passing = f"{base}/{lang}/_latest-{uuid.uuid4().hex}"
+    kept = [n for n in folders(spark, latest) if n not in written]
+    for name in (*written, *kept):
+        source = written.get(name) or f"{latest}/{name}"
+        rows = spark.read.parquet(source)
+        rows = rows.orderBy(*order[name]) if name in order else rows
+        rows.write.parquet(f"{passing}/{name}")
+    _swap(spark, passing, latest)
     return written
 
 
 def commit_snapshot(df: DataFrame, path: str, as_of: dt.date | str) -> None:
     """Store ``df`` as the snapshot of ``as_of``; other snapshots stay as they are.
 
-    Call it last: it runs as one job, and a failed job leaves the previous snapshot in place.
+    Call it last. The rows are written aside and then take the place of what the day had, so a
+    failed job leaves the previous snapshot, and a snapshot without rows is one.
     """
-    (
-        df.withColumn("snapshot_date", date_lit(as_of))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot_date")
-        .parquet(path)
-    )
+    passing = f"{path}/_passing-{uuid.uuid4().hex}"
+    df.write.parquet(passing)
+    _swap(df.sparkSession, passing, f"{path}/snapshot_date={as_date(as_of).isoformat()}")

@@ -286,10 +286,13 @@ def bucket_counts(spark, sf_dir):
 
 @query(
     """SELECT c_custkey, c_nationkey, coalesce(n_name, 'elsewhere') AS nation FROM customer
-    LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey"""
+    LEFT JOIN nation ON c_nationkey = CASE n_regionkey WHEN 2 THEN -1 - n_nationkey
+    ELSE n_nationkey END"""
 )
 def map_codes(spark, sf_dir):
-    listed = table(spark, sf_dir, "nation").filter("n_regionkey <> 2")
+    listed = table(spark, sf_dir, "nation").withColumn(
+        "n_nationkey", F.expr("IF(n_regionkey = 2, -1 - n_nationkey, n_nationkey)")
+    )
     return O.map_codes(
         table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
         "c_nationkey",
@@ -364,7 +367,8 @@ def normalize_city(spark, sf_dir):
 
 @query(
     """WITH alias AS (SELECT concat(n_name, ' School') AS alias, n_name AS name, r_name AS grp
-    FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'),
+    FROM (SELECT CASE r_name WHEN 'ASIA' THEN concat('Old ', n_name) ELSE n_name END AS n_name, r_name
+    FROM nation JOIN region ON n_regionkey = r_regionkey)),
     raw AS (SELECT CASE o_orderstatus WHEN 'F' THEN concat(n_name, ' School') ELSE n_name END
     AS place FROM orders JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey)
@@ -376,7 +380,7 @@ def alias_canonicalize(spark, sf_dir):
     dim = (
         table(spark, sf_dir, "nation")
         .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
-        .filter("r_name <> 'ASIA'")
+        .withColumn("n_name", F.expr("IF(r_name = 'ASIA', concat('Old ', n_name), n_name)"))
         .selectExpr("concat(n_name, ' School') AS alias", "n_name AS name", "r_name AS grp")
     )
     raw = (
@@ -545,25 +549,35 @@ def dropped_events(spark, sf_dir):
     )
 
 
-_GAPS_FROM = "WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000"
+# Every order, on a calendar stretched so that two days of three have none.
+_STRETCHED = f"CAST(DATE '{START}' + CAST(3 * ({ORDER_DAY} - DATE '{START}') AS INTEGER) AS DATE)"
 
 
 @query(
-    f"""WITH c AS (SELECT {ORDER_DAY} AS day, count(*) AS n FROM orders {_GAPS_FROM} GROUP BY 1),
+    f"""WITH c AS (SELECT {_STRETCHED} AS day, count(*) AS n FROM orders GROUP BY 1),
     b AS (SELECT min(day) lo, max(day) hi FROM c),
     s AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b)
     SELECT s.day, coalesce(n, 0) AS n FROM s LEFT JOIN c ON s.day = c.day"""
 )
 def fill_gaps(spark, sf_dir):
+    stretched = F.date_add(date_lit(START), 3 * F.datediff("day", date_lit(START)))
     counts = (
-        orders(spark, sf_dir)
-        .filter("o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
-        .groupBy("day")
+        orders(spark, sf_dir).withColumn("day", stretched).groupBy("day")
         .agg(F.count("*").alias("n"))
     )
     return O.fill_gaps(counts, "day", "day")
 
 
+@query(
+    f"""SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS dropped FROM lineitem
+    WHERE l_shipdate < DATE '{START}' OR CAST(l_shipdate AS DATE) > DATE '{AS_OF}' GROUP BY 1"""
+)
+def dropped_lines(spark, sf_dir):
+    """Lines that the line-item panels leave out because they lie outside the calendar."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
+    return O.dropped_events(lines, date_spine(spark, START, AS_OF), "date")
+
+
 _GRID_SQL = f"""g AS (SELECT n_name AS nation, s.date FROM nation, ({spine_sql(START, AS_OF)}) s),
     c AS (SELECT n_name AS nation, {ORDER_DAY} AS date, count(*) AS n FROM orders
     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
@@ -600,23 +614,22 @@ def dense_grid_panel(spark, sf_dir):
 
 
 @query(
-    """SELECT c.c_custkey AS id, c_mktsegment, o_orderkey FROM
-    (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN
-    (SELECT * FROM orders WHERE o_totalprice > 100000) o ON c.c_custkey = o_custkey
-    WHERE c.c_custkey IS NOT NULL
-    UNION ALL SELECT o_custkey, NULL, o_orderkey FROM orders WHERE o_totalprice > 100000
-    AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""
+    """WITH c AS (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS id,
+    c_mktsegment FROM customer), o AS (SELECT CASE WHEN o_totalprice > 100000 THEN o_custkey
+    WHEN o_totalprice > 90000 THEN NULL ELSE o_custkey + 100000000 END AS id, o_orderkey FROM orders)
+    SELECT coalesce(c.id, o.id) AS id, c_mktsegment, o_orderkey FROM c FULL JOIN o ON c.id = o.id"""
 )
 def link_records(spark, sf_dir):
-    people = (
-        table(spark, sf_dir, "customer")
-        .filter("c_acctbal > 0")
-        .select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    """All customers and orders; some ids have no partner and some are missing."""
+    people = table(spark, sf_dir, "customer").select(
+        F.expr("IF(c_acctbal > 0, c_custkey, -c_custkey)").alias("id"), "c_mktsegment"
     )
-    bought = (
-        table(spark, sf_dir, "orders")
-        .filter("o_totalprice > 100000")
-        .select(F.col("o_custkey").alias("id"), "o_orderkey")
+    bought = table(spark, sf_dir, "orders").select(
+        F.expr(
+            "CASE WHEN o_totalprice > 100000 THEN o_custkey WHEN o_totalprice > 90000 THEN NULL "
+            "ELSE o_custkey + 100000000 END"
+        ).alias("id"),
+        "o_orderkey",
     )
     return O.link_records(people, bought, "id")
 
@@ -891,13 +904,13 @@ def priority_sort(spark, sf_dir):
 
 @query(
     """SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1
-    ORDER BY n DESC, top DESC LIMIT 20"""
+    ORDER BY n DESC, top DESC, o_custkey DESC LIMIT 20"""
 )
 def top_sorted(spark, sf_dir):
     per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.count("*").alias("n"), F.max("o_totalprice").alias("top")
     )
-    return O.sort_desc(per, ["n", "top"], limit=20)
+    return O.sort_desc(per, ["n", "top", "o_custkey"], limit=20)
 
 
 @query(
@@ -974,21 +987,58 @@ def classify_delta(spark, sf_dir):
     return O.classify_delta(*snapshots(spark, sf_dir), "o_orderkey")
 
 
+_LEFT_QUANTITY = "CASE WHEN l_discount < 0.05 THEN l_quantity WHEN l_discount > 0.09 THEN NULL ELSE 100 + l_quantity END"
+_RIGHT_QUANTITY = "CASE WHEN l_tax > 0.03 THEN l_quantity WHEN l_tax < 0.01 THEN NULL ELSE -l_quantity END"
+
+
 @query(
-    """WITH a AS (SELECT l_returnflag, l_linestatus, l_quantity, count(*) AS m FROM lineitem
-    WHERE l_discount < 0.05 GROUP BY 1, 2, 3),
-    b AS (SELECT l_returnflag, l_linestatus, l_quantity, count(*) AS n FROM lineitem
-    WHERE l_tax > 0.03 AND l_quantity > 10 GROUP BY 1, 2, 3)
+    f"""WITH a AS (SELECT l_returnflag, l_linestatus, {_LEFT_QUANTITY} AS quantity, l_tax, count(*) AS m
+    FROM lineitem GROUP BY 1, 2, 3, 4),
+    b AS (SELECT l_returnflag, l_linestatus, {_RIGHT_QUANTITY} AS quantity, l_discount, count(*) AS n
+    FROM lineitem GROUP BY 1, 2, 3, 4)
     SELECT coalesce(a.l_returnflag, b.l_returnflag) AS l_returnflag,
     coalesce(a.l_linestatus, b.l_linestatus) AS l_linestatus,
-    coalesce(a.l_quantity, b.l_quantity) AS l_quantity,
-    coalesce(m * n, m, n) AS copies FROM a FULL JOIN b ON a.l_returnflag = b.l_returnflag
-    AND a.l_linestatus = b.l_linestatus AND a.l_quantity = b.l_quantity"""
+    coalesce(a.quantity, b.quantity) AS quantity, l_tax, l_discount,
+    coalesce(m, 1) * coalesce(n, 1) AS copies FROM a FULL JOIN b
+    ON a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus
+    AND a.quantity IS NOT DISTINCT FROM b.quantity"""
 )
 def natural_full_join(spark, sf_dir):
+    """All lines on both sides; each side has a column of its own that varies within shared rows."""
     lines = table(spark, sf_dir, "lineitem")
-    cols = ["l_returnflag", "l_linestatus", "l_quantity"]
+    flags = ["l_returnflag", "l_linestatus"]
     return O.natural_full_join(
-        lines.filter("l_discount < 0.05").select(cols),
-        lines.filter("l_tax > 0.03 AND l_quantity > 10").select(cols),
+        lines.select(*flags, F.expr(_LEFT_QUANTITY).alias("quantity"), "l_tax"),
+        lines.select(*flags, F.expr(_RIGHT_QUANTITY).alias("quantity"), "l_discount"),
+    )
+
+
+_NUMBER_TEXT = (
+    "CASE o_orderkey % 8 WHEN 0 THEN concat(CAST(o_orderkey AS VARCHAR(20)), '.75') WHEN 1 THEN '1e12' "
+    "WHEN 2 THEN 'NaN' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN '4357525678' WHEN 6 THEN "
+    "concat('-', CAST(o_orderkey AS VARCHAR(20))) ELSE 'n/a' END"
+)
+
+
+@query(
+    """SELECT o_orderkey, CAST(CASE o_orderkey % 8 WHEN 0 THEN o_orderkey WHEN 6 THEN -o_orderkey END
+    AS INTEGER) AS number FROM orders"""
+)
+def parse_ints(spark, sf_dir):
+    """Whole numbers from text with fractions, overflow, blanks and words in it."""
+    text = F.expr(_NUMBER_TEXT.replace("VARCHAR(20)", "STRING"))
+    return O.parse_ints(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("number")), ["number"])
+
+
+@query(
+    """SELECT k, a, b FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a NULLS FIRST,
+    b NULLS FIRST) AS rn FROM (SELECT o_custkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS a,
+    CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END AS b FROM orders)) WHERE rn = 1"""
+)
+def keep_first_by_content(spark, sf_dir):
+    """Keep-first without a given order: the same row however the input is dealt, nulls included."""
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS k", "IF(o_orderkey % 2 = 0, o_orderkey, NULL) AS a",
+        "IF(o_orderkey % 2 = 1, o_orderkey, NULL) AS b",
     )
+    return O.distinct_on(rows, "k")

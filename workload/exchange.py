@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import distinct_on, fill_blank, map_codes, parse_dates
+from tidewatch.operators import distinct_on, fill_blank, map_codes, new_records, parse_dates
+from tidewatch.session import folders as folders_below
 from tidewatch.session import shared_folder
 from tidewatch.sources import (
     commit_snapshot,
@@ -27,12 +27,8 @@ from .schools import _line_list_sql, line_list_14d
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint directory; a local one only where none is set."""
-    try:
-        folder = shared_folder(spark)
-    except ValueError:
-        folder = tempfile.mkdtemp(prefix="tidewatch-")
-    return f"{folder}/{uuid.uuid4().hex}"
+    """A new folder under the shared folder; what the tests read lies there till the session ends."""
+    return f"{shared_folder(spark)}/exchange-{uuid.uuid4().hex}"
 
 
 _CASE_COLUMNS = (
@@ -40,15 +36,28 @@ _CASE_COLUMNS = (
 )
 
 
+_DETAILS = (
+    "CASE county WHEN 2 THEN concat('bus \"', patient_record_number, '\" route, north') WHEN 3 THEN "
+    "concat('first line', chr(10), 'second \"line\"', chr(10)) WHEN 17 THEN 'back\\slash \\\" quoted' "
+    "ELSE '' END"
+)
+
+
 @query(
     f"""SELECT patient_record_number, case_date, hosp_admit_date, CAST(county AS INTEGER) AS county,
-    coalesce(breakthrough, '') AS breakthrough, hosp, age FROM ({extract_sql('cases')})"""
+    coalesce(breakthrough, '') AS breakthrough, hosp, age, {_DETAILS} AS details
+    FROM ({extract_sql('cases')})"""
 )
 def extract_roundtrip(spark, sf_dir):
-    """Header CSV written and read back as text, dates and numbers parsed, blanks restored."""
+    """Header CSV written and read back as text, dates and numbers parsed, blanks restored.
+
+    The free text holds quotes, commas, backslashes and line breaks.
+    """
     path = scratch(spark)
-    write_extract(extract(spark, sf_dir, "cases").select(*_CASE_COLUMNS.split(", ")), path)
-    back = read_extract(spark, path)
+    cases = extract(spark, sf_dir, "cases").select(*_CASE_COLUMNS.split(", "))
+    details = F.expr(_DETAILS.replace("\\", "\\\\"))
+    write_extract(cases.withColumn("details", details), path)
+    back = read_extract(spark, path, multi_line=True)
     typed = parse_dates(back, ["case_date", "hosp_admit_date"]).withColumn(
         "county", F.col("county").cast("int")
     )
@@ -99,15 +108,44 @@ def publish_roundtrip(spark, sf_dir):
     return spark.read.parquet(f"{base}/en/latest/status")
 
 
-@query(f"SELECT recipient, count(*) AS n FROM ({_line_list_sql()}) GROUP BY 1")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 0")
+def snapshot_empty(spark, sf_dir):
+    """The newest snapshot has no rows, and hides the rows of the one before."""
+    path = scratch(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    commit_snapshot(orders, path, "2000-01-01")
+    commit_snapshot(orders, path, "2000-01-02")
+    commit_snapshot(orders.filter("o_orderkey < 0"), path, "2000-01-02")
+    return read_snapshot(spark, path, "2000-01-03")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def snapshot_first_run(spark, sf_dir):
+    """On a first run there is no snapshot: every record is new."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return new_records(orders, read_snapshot(spark, scratch(spark), AS_OF, orders.schema), "o_orderkey")
+
+
+@query(
+    f"""SELECT recipient, CAST(sum(n) AS BIGINT) AS n FROM (SELECT recipient, 1 AS n
+    FROM ({_line_list_sql()}) WHERE recipient <> 'asia' UNION ALL
+    SELECT 'asia', 0 UNION ALL SELECT 'nobody', 0) GROUP BY 1"""
+)
 def recipient_fanout(spark, sf_dir):
-    """The line list written into one folder per recipient and counted from there."""
+    """The line list written into one folder per recipient, twice; the second run lacks one.
+
+    That one, and one that never has rows, have a file with the header alone.
+    """
     path = scratch(spark)
-    write_by_recipient(line_list_14d(spark, sf_dir), path)
-    return (
-        spark.read.option("header", True).csv(path).groupBy("recipient")
-        .agg(F.count("*").alias("n"))
+    rows = line_list_14d(spark, sf_dir)
+    write_by_recipient(rows, path)
+    write_by_recipient(rows.filter("recipient <> 'asia'"), path, recipients=["asia", "nobody"])
+    read = spark.read.option("multiLine", True).option("escape", '"')
+    lines = read.option("header", True).csv(path).groupBy("recipient").agg(F.count("*").alias("n"))
+    named = spark.createDataFrame(
+        [(name.partition("=")[2],) for name in folders_below(spark, path)], "recipient string"
     )
+    return named.join(lines, "recipient", "left").na.fill(0, ["n"])
 
 
 @query(

@@ -620,6 +620,6 @@ def _register_chart(name: str, lang: str) -> None:
     query(_chart_sql(name, lang), name=f"chart_{name}_{lang}")(run)
 
 
-# Every chart, in alternating languages: those differ in the labels alone.
-for _position, _name in enumerate(P.CHARTS):
-    _register_chart(_name, ("en", "es")[_position % 2])
+for _name in P.CHARTS:
+    for _lang in ("en", "es"):
+        _register_chart(_name, _lang)

@@ -411,7 +411,9 @@ def uninvestigated_minors(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT * FROM ({_MINORS_SQL}) WHERE person_last_name <> 'NATION_3'),
+    f"""WITH c AS (SELECT * REPLACE (CASE person_last_name WHEN 'NATION_3' THEN
+    concat(patient_record_number, '-new') ELSE patient_record_number END AS patient_record_number)
+    FROM ({_MINORS_SQL})),
     p AS (SELECT * FROM ({_MINORS_SQL}) WHERE first_positive_lab < DATE '2001-01-01'),
     u AS (SELECT * FROM c UNION ALL SELECT * FROM p)
     SELECT * FROM u WHERE (area, patient_record_number) IN (SELECT (area, patient_record_number)
@@ -420,7 +422,9 @@ def uninvestigated_minors(spark, sf_dir):
 def minors_delta(spark, sf_dir):
     minors = uninvestigated_minors(spark, sf_dir)
     return P.minors_delta(
-        minors.filter(F.col("person_last_name") != "NATION_3"),
+        minors.withColumn("patient_record_number", F.expr(
+            "IF(person_last_name = 'NATION_3', concat(patient_record_number, '-new'), "
+            "patient_record_number)")),
         minors.filter(F.col("first_positive_lab") < "2001-01-01"),
     )
 
