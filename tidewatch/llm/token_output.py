@@ -27,6 +27,7 @@ import functools
 import io
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memo import KeyTable
 from .scan import EXACT, SPACE, groups, mix, segment_keys, utf8
 from .spark_io import staged, text_rows
 
 END_ID = 0
 #: Mean keys in a bucket of the index, units a worker remembers, text bytes aimed at per shard.
-BUCKET_KEYS, KNOWN_UNITS, SHARD_BYTES = 50_000, 1 << 19, 64 << 20
+BUCKET_KEYS, KNOWN_UNITS, SHARD_BYTES = 50_000, 1 << 20, 64 << 20
 _U = np.uint64
 #: White space beyond ASCII's that the pre-tokenizer knows: U+0085, U+00A0, U+1680, U+2000 to
 #: U+200A, U+2028, U+2029, U+202F, U+205F, U+3000, and the separators 0x1C to 0x1F.
 _RARE = b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]"
 
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3, *range(0x1C, 0x20)]] = True
+
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -73,15 +78,25 @@ class Encoder:
         self.rare = re.compile(_RARE)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.uint32 if self.wide else np.uint16
+        self.known = KeyTable(KNOWN_UNITS)
+        self.at = np.zeros(self.known.size, np.int64)
+        self.size = np.zeros(self.known.size, np.int32)
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at = np.empty(0, _U), np.empty(0, np.int64)
-        self.size, self.flat = np.empty(0, np.int64), np.empty(0, self.type)
+        self.known.clear()
+        self.flat, self.end = np.empty(1 << 16, self.type), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units_ids(self, data, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units, and their number for each."""
+        raw = [data[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        found = self._encode(raw)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.type, int(sizes.sum())), sizes
+
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the units of consecutive texts."""
         lo, hi = int(offsets[0]), int(offsets[-1])
@@ -113,33 +128,24 @@ class Encoder:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts without the end id, and their number for each text."""
         n = len(offsets) - 1
-        if self.rare.search(memoryview(data[offsets[0] : offsets[-1]])):
+        body = data[offsets[0] : offsets[-1]]
+        if _LEADS[body].any() and self.rare.search(memoryview(body)):
             found = self._encode([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
             sizes = np.array([len(x) for x in found], np.int64)
             return np.array([i for x in found for i in x], self.type), sizes
         start, end = self.units(data, offsets)
         keys = segment_keys(data, start, end)
-        unique, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        known = np.zeros(len(unique), bool)
-        if len(self.keys):
-            spot = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
-            known = self.keys[spot] == unique
-        if not known.all():
-            if len(self.keys) > KNOWN_UNITS:
+        slot = self.known.find(keys)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            if not self.known.room(len(new)):
                 self._forget()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            found = self._encode([data[start[first[k]] : end[first[k]]].tobytes().decode() for k in new])
-            sizes = np.array([len(x) for x in found], np.int64)
-            all_keys = np.append(self.keys, unique[new])
-            order = np.argsort(all_keys)
-            self.at = np.append(self.at, len(self.flat) + np.cumsum(sizes) - sizes)[order]
-            self.size = np.append(self.size, sizes)[order]
-            self.keys = all_keys[order]
-            self.flat = np.append(self.flat, np.array([i for x in found for i in x], self.type))
-            spot = np.searchsorted(self.keys, unique)
-        each = spot[where]
-        size, at = self.size[each], self.at[each]
+                new, first = np.unique(keys, return_index=True)
+                missing = np.arange(len(keys))
+            self._learn(new, missing[first], data, start, end)
+            slot[missing] = self.known.find(keys[missing])
+        size, at = self.size[slot].astype(np.int64), self.at[slot]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
         take = np.arange(total) + np.repeat(at - stop + size, size)
@@ -147,6 +153,18 @@ class Encoder:
         return self.flat[take], np.diff(bounds) if n else np.empty(0, np.int64)
 
 
+    def _learn(self, new: np.ndarray, place: np.ndarray, data, start, end) -> None:
+        """Encode units that were not known."""
+        flat, sizes = self._units_ids(data, start[place], end[place])
+        total = len(flat)
+        while self.end + total > len(self.flat):
+            self.flat = np.append(self.flat, np.empty(len(self.flat), self.type))
+        self.flat[self.end : self.end + total] = flat
+        slots = self.known.add(new)
+        self.at[slots], self.size[slots] = self.end + np.cumsum(sizes) - sizes, sizes
+        self.end += total
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
