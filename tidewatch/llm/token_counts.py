@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo import Memo
 from .scan import EXACT, groups, mix, segment_keys, utf8, words
 from .spark_io import text_rows
 
@@ -118,45 +119,25 @@ def solve(tokens: list[bytes], vocabulary: dict) -> np.ndarray:
     return out
 
 
-class _Known:
-    """Token counts of the pre-tokens a worker has met."""
-
-    def __init__(self, path: str) -> None:
-        self.path, self.keys, self.counts = path, np.empty(0, _U), np.empty(0, np.int64)
-
-    def look_up(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        unique, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
-        known = self.keys[spot] == unique if len(self.keys) else np.zeros(len(unique), bool)
-        counts = np.zeros(len(unique), np.int64)
-        counts[known] = self.counts[spot[known]] if known.any() else 0
-        new = np.flatnonzero(~known)
-        pending, held = [], 0
-        for k in new:
-            s, e = start[first[k]], end[first[k]]
-            pending.append((k, MARK + data[s:e].tobytes()))
-            held += int(e - s)
-            if held >= TRIE_BYTES:
-                self._solve(pending, counts)
-                pending, held = [], 0
-        self._solve(pending, counts)
-        if len(self.keys) + len(new) > KNOWN:
-            self.keys, self.counts = np.empty(0, _U), np.empty(0, np.int64)
-        if len(new) and len(new) <= KNOWN:
-            keys_, counts_ = np.append(self.keys, unique[new]), np.append(self.counts, counts[new])
-            order = np.argsort(keys_)
-            self.keys, self.counts = keys_[order], counts_[order]
-        return counts[where]
-
-    def _solve(self, pending: list, counts: np.ndarray) -> None:
-        if pending:
-            at, raw = zip(*pending, strict=True)
-            counts[list(at)] = solve(list(raw), pieces(self.path))
+def _counted(at: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, path: str):
+    """Token counts of the words at some places, in tries of bounded size."""
+    out, size = np.zeros(len(at), np.int64), np.cumsum(end[at] - start[at])
+    for part in _runs(size):
+        raw = [MARK + data[start[k] : end[k]].tobytes() for k in at[part]]
+        out[part] = solve(raw, pieces(path))
+    return out
+
+
+def _runs(size: np.ndarray):
+    """Consecutive places whose sizes, given as running sums, come to about ``TRIE_BYTES``."""
+    number = size // TRIE_BYTES
+    for k in np.unique(number):
+        yield np.flatnonzero(number == k)
 
 
 @functools.lru_cache(maxsize=2)
-def _known(path: str) -> _Known:
-    return _Known(path)
+def _known(path: str) -> Memo:
+    return Memo(KNOWN, np.int32)
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -172,7 +153,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             for i, j in groups(offsets):
                 w = words(data, offsets[i : j + 1])
                 keys = segment_keys(data, w.start, w.end)
-                counts = known.look_up(keys, data, w.start, w.end)
+                counts = known.look_up(keys, lambda at, w=w: _counted(at, data, w.start, w.end, path))
                 total = np.bincount(w.doc, counts, j - i)[: j - i].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id").slice(i, j - i), pa.array(np.diff(w.first)), pa.array(total)],
