@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import CHUNK, EXACT, groups, mix, utf8
-from .spark_io import drop, staged, text_rows
+from .spark_io import drop, split_join, staged, text_rows
 
 THRESHOLD, GRAM, BLOCK = 400, 200, 16
 _U = np.uint64
@@ -260,7 +260,7 @@ def _pass(members: DataFrame, *place: str) -> tuple[DataFrame, DataFrame]:
     not equal to them one per class, if some such class has one member.
     """
     coarse = members.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    left = staged(members.join(coarse, "g", "left_semi"), "digit")
+    left = staged(split_join(members, coarse, "g", "left_semi"), "digit")
     classes = staged(
         left.groupBy("g", "u", "v").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("one")),
         "classes",
@@ -271,7 +271,7 @@ def _pass(members: DataFrame, *place: str) -> tuple[DataFrame, DataFrame]:
     )
     twice = classes.filter("n > 1").select("g", "u", "v")
     equal = left.join(twice, ["g", "u", "v"], "left_semi").select(*place)
-    deeper = classes.join(mixed, "g", "left_semi").select("one.*")
+    deeper = split_join(classes, mixed, "g", "left_semi").select("one.*")
     return equal, deeper
 
 
@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     equal_blocks, blocks = _pass(_blocks(contexts, threshold), "id", "run", "at", "lo", "hi")
     windows = staged(_windows(contexts, blocks, threshold), "windows")
     twice = windows.groupBy("u", "v").agg(F.count("*").alias("n")).filter("n > 1").select("u", "v")
-    single = windows.join(twice, ["u", "v"], "left_semi")
+    single = split_join(windows, twice, ["u", "v"], "left_semi")
     return (
         equal.select("id", "lo", "hi")
         .unionByName(equal_blocks.select("id", "lo", "hi"))
