@@ -31,22 +31,31 @@ MARK = "▁".encode()
 BYTE_SCORE = -20.0
 #: Distinct pre-tokens a worker remembers at most, and bytes of pre-tokens in one trie.
 KNOWN, TRIE_BYTES = 1 << 20, 1 << 20
+#: Bytes of the longest word that goes into a trie.
+DEEPEST = 1 << 10
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(path: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Piece keys (sorted) and scores by length in bytes."""
+def scores_of(path: str) -> dict[bytes, float]:
+    """Score of every piece of a sentencepiece vocabulary, by rank."""
     from sentencepiece import SentencePieceProcessor
 
-    sp = SentencePieceProcessor(model_file=path)
-    found: dict[int, dict[int, float]] = {}
+    sp, out = SentencePieceProcessor(model_file=path), {}
     for rank in range(sp.get_piece_size()):
         if sp.is_control(rank) or sp.is_unknown(rank) or sp.is_byte(rank) or sp.is_unused(rank):
             continue
-        raw = sp.id_to_piece(rank).encode()
-        found.setdefault(len(raw), {}).setdefault(key_of(raw), -float(np.log(rank + 2)))
+        out.setdefault(sp.id_to_piece(rank).encode(), -float(np.log(rank + 2)))
+    return out
+
+
+@functools.lru_cache(maxsize=2)
+def pieces(path: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Piece keys (sorted) and scores by length in bytes."""
+    found: dict[int, dict[int, float]] = {}
+    for raw, score in scores_of(path).items():
+        found.setdefault(len(raw), {})[key_of(raw)] = score
     out = {}
     for size, scores in sorted(found.items()):
         keys = np.array(list(scores), _U)
@@ -55,6 +64,21 @@ def pieces(path: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def solve_alone(token: bytes, scores: dict[bytes, float]) -> int:
+    """Token count of one pre-token, byte by byte."""
+    longest = max(map(len, scores), default=1)
+    best, used = [0.0], [0]
+    for end in range(1, len(token) + 1):
+        top, n = best[-1] + BYTE_SCORE, used[-1] + 1
+        for w in range(1, min(end, longest) + 1):
+            score = scores.get(token[end - w : end])
+            if score is not None and best[end - w] + score >= top:
+                top, n = best[end - w] + score, used[end - w] + 1
+        best.append(top)
+        used.append(n)
+    return used[-1]
+
+
 def key_of(raw: bytes) -> int:
     """Key of a byte string, as the trie builds it byte by byte."""
     h = 0
@@ -123,8 +147,14 @@ def _counted(at: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarra
     """Token counts of the words at some places, in tries of bounded size."""
     out, size = np.zeros(len(at), np.int64), np.cumsum(end[at] - start[at])
     for part in _runs(size):
+        # A word too long to share its path with many others would only make the trie deep.
+        long = part[end[at[part]] - start[at[part]] > DEEPEST]
+        part = np.setdiff1d(part, long)
         raw = [MARK + data[start[k] : end[k]].tobytes() for k in at[part]]
         out[part] = solve(raw, pieces(path))
+        for k in long:
+            raw = MARK + data[start[at[k]] : end[at[k]]].tobytes()
+            out[k] = solve_alone(raw, scores_of(path))
     return out
 
 
