@@ -9,8 +9,9 @@ is its count there plus ``BACK`` times its probability after the last ``n - 1``,
 context plus ``BACK``; below order 0 all 256 signs are alike. Counts, smoothing and scores are
 joins and sums over distinct character strings of ``ORDER + 1`` characters, so each level is solved
 once per string and not once per URL. Four fifths of the distinct URLs with a rule train (by
-crc32), the last fifth calibrates: the threshold is the smallest multiple of ``1 / STEPS`` with the
-best sum of accepted and rejected shares.
+crc32), the last fifth calibrates: scores are counted by multiples of ``1 / STEPS``, and the threshold
+lies midway between the lowest multiple with the best sum of accepted and rejected shares and the
+one counted below it.
 
 Everything is DataFrame expressions. Defined results: a null URL or one without ``://`` has an empty
 host and path and no rule; an empty URL scores 0; without training URLs every score is 0, and
@@ -108,10 +109,11 @@ def _threshold(scored: DataFrame) -> float:
     # As many rows as there are multiples of 1 / STEPS between two log-probabilities.
     bins = bins.withColumns(
         {"up": F.expr("sum(a) over (order by bin desc)"), "down": F.expr("coalesce(sum(b) over (order by bin rows between unbounded preceding and 1 preceding), 0)"),
-         "na": F.expr("sum(a) over ()"), "nb": F.expr("sum(b) over ()")}
+         "na": F.expr("sum(a) over ()"), "nb": F.expr("sum(b) over ()"),
+         "under": F.expr("coalesce(lag(bin) over (order by bin) + 1, bin)")}
     )
     best = bins.filter("na > 0 and nb > 0").orderBy((F.col("up") / F.col("na") + F.col("down") / F.col("nb")).desc(), "bin").first()
-    return best.bin / STEPS if best else 0.0
+    return (best.bin + best.under) / 2 / STEPS if best else 0.0
 
 
 def judge(pages: DataFrame, order: int = ORDER) -> DataFrame:
