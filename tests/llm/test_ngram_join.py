@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tidewatch.llm import graph
 from tidewatch.llm import ngram_join as J
 from tidewatch.llm.graph import components
 
@@ -125,7 +126,10 @@ def test_keep_one(spark, docs, hard, nothing):
     assert J.keep_one(nothing).collect() == [] and J.linked(nothing).collect() == []
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("local", [1_000_000, 40])
+def test_components_of_paths_and_stars(spark, monkeypatch, local):
+    """In one task, and in rounds between several."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
     edges = [(f"{a:03}", f"{a + 1:03}") for a in range(60)] + [("900", f"{b}") for b in range(901, 990)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {f"{a:03}": "000" for a in range(61)} | {f"{b}": "900" for b in range(900, 990)}
