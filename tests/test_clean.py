@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import operators as O
 
+D = dt.date
+
 
 def test_fill_blank_leaves_numbers_alone(spark, rows):
     df = spark.createDataFrame([(None, None), ("a", 1)], "t string, n int")
@@ -117,3 +121,19 @@ def test_nothing_to_fill(spark, rows):
 def test_parse_ints(spark, rows):
     df = spark.createDataFrame([("12",), ("12.0",), ("",), ("x",), (None,)], "t string")
     assert rows(O.parse_ints(df, ["t"])) == [(None,), (None,), (None,), (12,), (12,)]
+
+
+def test_numbers_that_do_not_fit_are_null(spark, rows):
+    text = ["12", "12.9", "-7.9", "1e12", "NaN", "4357525678", "", "x", None, "2147483647"]
+    df = spark.createDataFrame([(t,) for t in text], "t string")
+    got = O.parse_ints(df.withColumn("n", F.col("t")), ["n"])
+    assert {r.t: r.n for r in got.collect()} == dict(
+        zip(text, [12, 12, -7, None, None, None, None, None, None, 2147483647])
+    )
+
+
+def test_keep_first_tells_nulls_apart_from_values(spark):
+    pair = [("k", D(2021, 1, 1), None), ("k", None, D(2021, 1, 1))]
+    for order in (pair, pair[::-1]):
+        df = spark.createDataFrame(order, "k string, a date, b date").repartition(2)
+        assert [tuple(r) for r in O.distinct_on(df, "k").collect()] == [pair[1]]

@@ -168,3 +168,55 @@ def test_stage_uses_the_named_folder(spark, rows, tmp_path):
     assert rows(stage(df, str(tmp_path / "unused"))) == [(1, None)]
     assert len(set(folder.glob("staged-*")) - before) == 1
     assert not (tmp_path / "unused").exists()
+
+
+def test_quotes_and_line_breaks_as_the_extracts_have_them(spark, rows, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text('"","id","details"\n"1",1,"bus ""12"" route, A"\n"2",2,"two\nlines"\n"3",3,NA\n"4",4,"a\\b"\n')
+    df = read_extract(spark, str(path), drop_first=True, multi_line=True)
+    assert rows(df, "id", "details") == [("1", 'bus "12" route, A'), ("2", "two\nlines"), ("3", None), ("4", "a\\b")]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_extract(spark, str(path), drop_first=True).collect()
+    write_extract(df, str(tmp_path / "again"))
+    assert rows(read_extract(spark, str(tmp_path / "again"), multi_line=True)) == rows(df)
+    assert '"bus ""12"" route, A"' in "".join(p.read_text() for p in (tmp_path / "again").glob("*.csv"))
+
+
+def test_values_a_type_cannot_hold_are_null(spark, rows, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("d,n\n2021-08-22,5\nsoon,many\n")
+    assert rows(read_extract(spark, str(path), "d DATE, n INT")) == [(None, None), (D(2021, 8, 22), 5)]
+
+
+def test_snapshots_without_rows_and_the_first_run(spark, rows, tmp_path):
+    path, some = str(tmp_path / "snap"), spark.createDataFrame([(1,), (2,)], "n int")
+    with pytest.raises(ValueError, match="first run"):
+        read_snapshot(spark, path, "2021-01-01")
+    assert rows(read_snapshot(spark, path, "2021-01-01", "n int")) == []
+    commit_snapshot(some, path, "2021-01-01")
+    commit_snapshot(some, path, "2021-01-02")
+    commit_snapshot(some.limit(0), path, "2021-01-02")
+    assert rows(read_snapshot(spark, path, "2021-01-03")) == []
+    assert rows(read_snapshot(spark, path, "2021-01-02")) == [(1,), (2,)]
+    assert read_snapshot(spark, path, "2021-01-01").columns == ["n"]
+
+
+def test_a_rerun_leaves_no_old_recipient(spark, tmp_path):
+    path = str(tmp_path / "lists")
+    df = spark.createDataFrame([("r1", 1), ("r2", 2)], "recipient string, n int")
+    write_by_recipient(df, path)
+    write_by_recipient(df.filter("recipient = 'r1'"), path, recipients=["r1", "r2", "r 3"])
+    found = {p.name: "".join(f.read_text() for f in p.glob("*.csv")) for p in Path(path).glob("recipient=*")}
+    assert sorted(found.values()) == ["n\n", "n\n", "n\n1\n"] and found["recipient=r1"] == "n\n1\n"
+
+
+def test_latest_is_swapped_at_once_and_sorted(spark, rows, tmp_path):
+    base = str(tmp_path / "pub")
+    publish({"a": spark.range(3).toDF("x"), "b": spark.range(2).toDF("x")}, base, "2021-09-01")
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        publish({"a": spark.range(9).toDF("x"), "b": broken}, base, "2021-09-02")
+    assert spark.read.parquet(f"{base}/en/latest/a").count() == 3
+    publish({"a": spark.createDataFrame([(3,), (1,), (2,)], "x int")}, base, "2021-09-03", order={"a": ["x"]})
+    assert [r.x for r in spark.read.parquet(f"{base}/en/latest/a").collect()] == [1, 2, 3]
+    assert spark.read.parquet(f"{base}/en/latest/b").count() == 2
