@@ -116,3 +116,40 @@ def test_hard_documents_and_nothing(spark, docs, nothing):
     assert D.matches(nothing, bench).collect() == []
     kept = D.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 6
+
+
+def edited():
+    """Passages at and around the threshold: spread edits, equal and unequal weights, repeats."""
+    r = random.Random(11)
+    word = lambda: f"u{r.randrange(100_000)}"
+    frame = [word() for _ in range(44)]
+    items, rows = [], []
+    for k in range(9):
+        own = [word() for _ in range(r.randrange(13, 110))]
+        if k % 3 == 1:  # most of it is the same in many items, what differs is heavy
+            own = frame + own[:8]
+        if k % 3 == 2:  # a shingle repeated, which an edit may replace by another repeated one
+            own = own + ["again"] * 60
+        items.append((k, " ".join(own)))
+        for n in range(0, 10):
+            w = own.copy()
+            for _ in range(n // 3 if k % 3 == 0 else n // 4):
+                w[r.randrange(len(w))] = word()
+            if k % 3 == 2 and n % 2:
+                w = [f"new{k}" if x == "again" else x for x in w]
+            w = [word() for _ in range(r.randrange(30))] + w + [word() for _ in range(r.randrange(30))]
+            rows.append((1000 * k + n, " ".join(w)))
+    return items, rows
+
+
+def test_no_match_near_the_threshold_is_lost(spark):
+    items, rows = edited()
+    want = {(rows[k][0], i): s for (k, i), s in brute(rows, items).items()}
+    assert sum(s < 0.85 for s in want.values()) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.matches(df, bench).collect()}
+    assert set(got) == set(want)
+    assert all(abs(s - want[k]) < 1e-9 for k, s in got.items())
+    kept = {r.doc_id for r in D.drop_contaminated(df, bench).collect()}
+    assert kept == {k for k, _ in rows} - {k for k, _ in want}

@@ -1,17 +1,16 @@
-"""Benchmark items found in documents: SimHash over item-sized windows.
+"""Benchmark items found in documents: item-sized windows by their weighted word shingles.
 
-A window of a document has as many words as an item. Its fingerprint is the SimHash of its weighted
-word shingles; items are indexed by ``RADIUS + 1`` blocks of their fingerprints, so every item
-within ``RADIUS`` bits of a window agrees with it in a block and is found. The candidates are decided
-by the exact weighted Jaccard similarity of the shingle sets. A shingle weighs ``1 + ln(items /
-items that have it)``; one that no item has weighs as much as one that a single item has.
+A window of a document has as many words as an item. Window and item match by the exact weighted
+Jaccard similarity of their shingle sets. A shingle weighs ``1 + ln(items / items that have it)``;
+one that no item has weighs as much as one that a single item has.
 
-Windows are taken at every word. Of these, the ones where shingles of the benchmark hold less than
-half the weight cannot reach the threshold and need no fingerprint. The benchmark is taken in blocks of at
-most ``ITEM_BYTES`` of text, one pass over the documents each, so what is sent to the executors is
-bounded however long the benchmark is; documents are never shuffled. At similarity 0.8 the expected
-distance of two 64-bit fingerprints is 9.7 bits with a deviation of 2.9, which ``RADIUS`` exceeds
-by almost two deviations; overlapping windows raise the chance further.
+Windows are taken at every word. No pair at the threshold is passed over: a match shares at least
+``SIMILARITY`` of the item's weight, so it holds one of the item's heaviest shingles that make up more
+than the rest of the weight. These are indexed; the texts that hold one are looked at for the item,
+and the windows whose shared weight can reach the threshold are decided exactly. (Fingerprints within
+``RADIUS`` bits, ``Benchmark.near``, lose matches near the threshold and do not decide.) The benchmark
+is taken in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents each, so what is
+sent to the executors is bounded however long the benchmark is; documents are never shuffled.
 
 Defined results: lower-casing covers A-Z; an item with fewer words than a shingle is one shingle;
 a null or empty item matches nothing; a null or empty text holds nothing; a window that meets the
@@ -21,6 +20,7 @@ reported each; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +32,8 @@ from .scan import LOWER, groups, mix, segment_keys, utf8, windows, words
 from .spark_io import text_rows
 
 SHINGLE, SIMILARITY, RADIUS, ITEM_BYTES = 5, 0.8, 15, 8 << 20
+#: What rounding may take from a bound.
+_SLACK = 1e-9
 _U = np.uint64
 _BITS = np.arange(64, dtype=_U)
 _CUTS = np.linspace(0, 64, RADIUS + 2).astype(int)
@@ -53,6 +55,19 @@ class Match(NamedTuple):
     n_words: int
 
 
+class Candidates(NamedTuple):
+    """Windows of one text that may match an item."""
+
+    doc: int
+    item: int
+    start: np.ndarray
+    end: np.ndarray
+    own: np.ndarray  # weight of the shingles of the benchmark
+    both: np.ndarray  # weight of those of the item
+    foreign: np.ndarray  # which shingles are not of the benchmark, windows x shingles
+    grams: np.ndarray
+
+
 class Benchmark:
     """A block of benchmark items, ready to be looked for."""
 
@@ -75,20 +90,33 @@ class Benchmark:
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.all >> _U(48)).astype(np.int64)] = True
         self.total = [float(self.weigh(s)[0].sum()) for s in self.sets]
-        self.prints = np.array(
+        self.numbers = [np.searchsorted(self.all, s) for s in self.sets]
+        # The heaviest shingles of an item, so many that the others weigh less than SIMILARITY of it.
+        gram, item = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k, own in enumerate(self.numbers):
+            own = own[np.argsort(-self.weight[own], kind="stable")]
+            run = np.cumsum(self.weight[own])
+            own = own[: np.searchsorted(run, (1 - SIMILARITY + _SLACK) * self.total[k], "right") + 1]
+            gram.append(own)
+            item.append(np.full(len(own), k))
+        gram, item = np.concatenate(gram), np.concatenate(item)
+        self.owner = item[np.argsort(gram, kind="stable")]
+        self.owned = np.searchsorted(np.sort(gram), np.arange(len(self.all) + 1))
+
+    @functools.cached_property
+    def prints(self) -> np.ndarray:
+        return np.array(
             [simhash(g, self.weigh(g)[0], np.array([0]), np.array([len(g)]))[0] for g in self.grams], _U
         )
-        # Which numbers of words the items with a shingle have.
-        sizes: dict[int, set[int]] = {}
-        for own, n in zip(self.sets, self.words, strict=True):
-            for g in np.searchsorted(self.all, own).tolist():
-                sizes.setdefault(g, set()).add(n)
-        self.sizes = [sorted(sizes[g]) for g in range(len(self.all))]
-        self.blocks = []
+
+    @functools.cached_property
+    def blocks(self) -> list[tuple]:
+        out = []
         for a, b in zip(_CUTS[:-1], _CUTS[1:], strict=True):
             value = self.block(self.prints, a, b)
             order = np.argsort(value, kind="stable")
-            self.blocks.append((a, b, value[order], order))
+            out.append((a, b, value[order], order))
+        return out
 
     @staticmethod
     def block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -119,16 +147,26 @@ class Benchmark:
         pairs = np.unique(np.concatenate(found_w) * len(self.ids) + np.concatenate(found_i))
         return pairs // len(self.ids), pairs % len(self.ids)
 
-    def similarity(self, window: np.ndarray, item: int) -> float:
-        own = np.unique(window)
-        both = self.weigh(np.intersect1d(own, self.sets[item], assume_unique=True))[0].sum()
-        return float(both / (self.weigh(own)[0].sum() + self.total[item] - both))
-
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[Match]:
         """The best window of each item in each of consecutive texts, if similar enough."""
+        best: dict[tuple[int, int], Match] = {}
+        for c in self.candidates(data, offsets):
+            own = c.own + c.foreign.sum(1) * self.rare
+            sim = np.round(c.both / (own + self.total[c.item] - c.both), 12)
+            k = int(np.argmax(sim))
+            if sim[k] < SIMILARITY:
+                continue
+            old = best.get((c.doc, c.item))
+            if old is None or (sim[k], -c.start[k]) > (old.similarity, -old.start):
+                size = min(SHINGLE, self.words[c.item])
+                n = int(c.end[k] - c.start[k]) + size - 1
+                best[c.doc, c.item] = Match(c.doc, c.item, float(sim[k]), int(c.start[k]), n)
+        return [best[k] for k in sorted(best)]
+
+    def candidates(self, data: np.ndarray, offsets: np.ndarray):
+        """Windows that share enough of an item to reach the threshold, whatever else they hold."""
         w = words(data, offsets)
         keys = segment_keys(data, w.start, w.end, LOWER)
-        best: dict[tuple[int, int], Match] = {}
         for size in sorted({min(SHINGLE, n) for n in self.words}):
             grams, at = windows(keys, w.doc, size)
             weight, number = self.weigh(grams)
@@ -138,32 +176,59 @@ class Benchmark:
             doc = w.doc[at]
             for d in np.unique(doc[hits]).tolist():
                 lo, hi = np.searchsorted(doc, [d, d + 1])
-                own = hits[slice(*np.searchsorted(hits, [lo, hi]))]
-                wanted = {n for h in own for n in self.sizes[number[h]] if min(SHINGLE, n) == size}
-                for n in sorted(wanted):
-                    for m in self._in_text(d, n, size, grams[lo:hi], weight[lo:hi], number[lo:hi]):
-                        old = best.get((d, m.item))
-                        if old is None or (m.similarity, -m.start) > (old.similarity, -old.start):
-                            best[d, m.item] = m
-        return [best[k] for k in sorted(best)]
+                yield from self._in_text(d, size, grams[lo:hi], weight[lo:hi], number[lo:hi])
+
+    def _in_text(self, doc, size, grams, weight, number):
+        hits = np.flatnonzero(number >= 0)
+        held = number[hits]
+        met = np.unique(held)
+        met = met[self.owned[met + 1] > self.owned[met]]
+        if not len(met):
+            return
+        items = np.unique(np.concatenate([self.owner[self.owned[g] : self.owned[g + 1]] for g in met]))
+        before = None
+        for item in items.tolist():
+            n, own = self.words[item], self.numbers[item]
+            if min(SHINGLE, n) != size:
+                continue
+            least = (SIMILARITY - _SLACK) * self.total[item]
+            inside = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
+            spot = hits[inside]
+            run = np.concatenate([[0], np.cumsum(weight[spot])])
+            if run[-1] < least:
+                continue
+            length = n - size + 1
+            start = np.arange(max(int(spot[0]) - length + 1, 0), int(spot[-1]) + 1)
+            share = run[np.searchsorted(spot, start + length)] - run[np.searchsorted(spot, start)]
+            start = start[share >= least]
+            if not len(start):
+                continue
+            if before is None:
+                before = _before(grams)
+            shared = np.zeros(len(grams), bool)
+            shared[spot] = True
+            step = max(1, (1 << 20) // length)
+            for p in range(0, len(start), step):
+                s = start[p : p + step]
+                at = s[:, None] + np.arange(length)
+                # Of equal shingles in a window only the first counts.
+                there = at < len(grams)
+                at = np.minimum(at, len(grams) - 1)
+                there &= before[at] < s[:, None]
+                known = weight[at] * (there & (number[at] >= 0))
+                yield Candidates(
+                    doc, item, s, np.minimum(s + length, len(grams)), known.sum(1),
+                    (known * shared[at]).sum(1), there & (number[at] < 0), grams[at],
+                )
 
-    def _in_text(self, doc, n, size, grams, weight, number):
-        """Matches among the windows of ``n`` words of one text."""
-        length = n - size + 1
-        hit = np.concatenate([[0], np.cumsum(np.where(number >= 0, weight, 0))])
-        every = np.concatenate([[0], np.cumsum(weight)])
-        start = np.arange(len(grams))
-        end = np.minimum(start + length, len(grams))
-        start = np.flatnonzero(hit[end] - hit[start] >= (every[end] - every[start]) / 2)
-        for p in range(0, len(start), 4096):
-            s = start[p : p + 4096]
-            e = end[s]
-            base, top = int(s[0]), int(e[-1])
-            prints = simhash(grams[base:top], weight[base:top], s - base, e - base)
-            for k, item in zip(*self.near(prints), strict=True):
-                sim = self.similarity(grams[s[k] : e[k]], int(item))
-                if sim >= SIMILARITY:
-                    yield Match(doc, int(item), sim, int(s[k]), int(e[k] - s[k]) + size - 1)
+
+def _before(grams: np.ndarray) -> np.ndarray:
+    """Where each shingle of a text was last met, or -1."""
+    order = np.argsort(grams, kind="stable")
+    out = np.full(len(grams), -1, np.int64)
+    same = grams[order[1:]] == grams[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
 
 def blocks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES):
