@@ -153,3 +153,19 @@ def test_no_match_near_the_threshold_is_lost(spark):
     assert all(abs(s - want[k]) < 1e-9 for k, s in got.items())
     kept = {r.doc_id for r in D.drop_contaminated(df, bench).collect()}
     assert kept == {k for k, _ in rows} - {k for k, _ in want}
+
+
+def test_several_blocks_equal_one(spark):
+    items, rows = edited()
+    # Documents that hold parts of two items: what one block knows weighs in the other.
+    rows += [(k, f"{rows[k][1]} {rows[-k][1]}") for k in range(1, 20)] + [rows[0], (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(D.blocks(bench, 800))) > 2
+    get = lambda *size: sorted(
+        (str(r.doc_id), r.item_id, round(r.similarity, 9), r.start_word, r.n_words)
+        for r in D.matches(df, bench, *size).collect()
+    )
+    assert get(800) == get() != []
+    kept = [Counter(D.drop_contaminated(df, bench, *size).collect()) for size in ((800,), ())]
+    assert kept[0] == kept[1]

@@ -10,7 +10,10 @@ than the rest of the weight. These are indexed; the texts that hold one are look
 and the windows whose shared weight can reach the threshold are decided exactly. (Fingerprints within
 ``RADIUS`` bits, ``Benchmark.near``, lose matches near the threshold and do not decide.) The benchmark
 is taken in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents each, so what is
-sent to the executors is bounded however long the benchmark is; documents are never shuffled.
+sent to the executors is bounded however long the benchmark is. Weights are those of the whole
+benchmark: with several blocks, shingles are counted over all items first, and the windows of a block
+whose other shingles may weigh little are decided after a join with these counts, so that blocks
+change no result. Documents are shuffled only to drop some of them by several blocks.
 
 Defined results: lower-casing covers A-Z; an item with fewer words than a shingle is one shingle;
 a null or empty item matches nothing; a null or empty text holds nothing; a window that meets the
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import LOWER, groups, mix, segment_keys, utf8, windows, words
-from .spark_io import text_rows
+from .spark_io import split_join, staged, text_rows
 
 SHINGLE, SIMILARITY, RADIUS, ITEM_BYTES = 5, 0.8, 15, 8 << 20
 #: What rounding may take from a bound.
@@ -71,7 +74,8 @@ class Candidates(NamedTuple):
 class Benchmark:
     """A block of benchmark items, ready to be looked for."""
 
-    def __init__(self, ids: list, texts: list) -> None:
+    def __init__(self, ids: list, texts: list, items: int = 0, counts: pa.Table | None = None) -> None:
+        """Of one block: ``items`` of the whole benchmark, and in how many of them each ``gram`` is (``n``)."""
         data, offsets = utf8(pa.array(texts, pa.string()))
         w = words(data, offsets)
         keys = segment_keys(data, w.start, w.end, LOWER)
@@ -85,7 +89,11 @@ class Benchmark:
             self.grams.append(windows(own, np.zeros(len(own), int), size)[0])
         self.sets = [np.unique(g) for g in self.grams]
         self.all, seen = np.unique(np.concatenate([np.empty(0, _U), *self.sets]), return_counts=True)
-        self.rare = 1 + float(np.log(max(len(self.ids), 1)))
+        if counts is not None:
+            gram = counts.column("gram").to_numpy().view(_U)
+            order = np.argsort(gram)
+            seen = counts.column("n").to_numpy()[order[np.searchsorted(gram[order], self.all)]]
+        self.rare = 1 + float(np.log(max(items, len(self.ids), 1)))
         self.weight = self.rare - np.log(np.maximum(seen, 1))
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.all >> _U(48)).astype(np.int64)] = True
@@ -231,15 +239,111 @@ def _before(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES):
-    """The benchmark in blocks of about ``item_bytes``; the items of one are on the driver at a time."""
-    items = text_rows(benchmark, F.col("item_id").cast("long"))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return text_rows(benchmark, F.col("item_id").cast("long"))
+
+
+def _n_blocks(items: DataFrame, item_bytes: int) -> int:
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(-(-size // item_bytes))
+    return int(-(-size // item_bytes))
+
+
+def _grams(items: DataFrame) -> DataFrame:
+    """The distinct shingles of every item with words."""
+    def run(batches):
+        for rows in batches:
+            data, offsets = utf8(rows.column("text"))
+            for i, j in groups(offsets):
+                sets = Benchmark([0] * (j - i), rows.column("text").slice(i, j - i).to_pylist()).sets
+                grams = np.concatenate([np.empty(0, _U), *sets])
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    return items.select("text").mapInArrow(run, "gram long")
+
+
+def _worded(items: DataFrame) -> int:
+    return items.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
+
+
+def blocks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES, counts: DataFrame | None = None):
+    """The benchmark in blocks of about ``item_bytes``; the items of one are on the driver at a time.
+
+    Shingles weigh the same in each: they are counted over all items (``counts``, if done before).
+    """
+    items = _items(benchmark)
+    n = _n_blocks(items, item_bytes)
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
+    if n > 1:
+        total = _worded(items)
+        counts = _counts(items) if counts is None else counts
     for k in range(n):
-        rows = items.filter(place == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        yield Benchmark(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
+        part = items.filter(place == k)
+        rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        held = (rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
+        if n == 1:
+            yield Benchmark(*held)
+        else:
+            yield Benchmark(*held, total, counts.join(_grams(part).distinct(), "gram", "left_semi").toArrow())
+
+
+def _counts(items: DataFrame) -> DataFrame:
+    """In how many items of the whole benchmark each shingle is."""
+    return staged(_grams(items).groupBy("gram").agg(F.count("*").alias("n")), "shingles")
+
+
+_FOUND = (
+    "row long, item long, item_id long, start_word long, n_words long, "
+    "own double, both double, total double, foreign array<long>"
+)
+
+
+def _found(docs: DataFrame, block: Benchmark, column: str, kind: str) -> DataFrame:
+    """Windows that may match an item of a block, with the shingles whose weight other blocks know."""
+    def run(batches):
+        row = 0
+        for rows in batches:
+            data, offsets = utf8(rows.column("text"))
+            name = rows.column(column)
+            for i, j in groups(offsets):
+                for c in block.candidates(data, offsets[i : j + 1]):
+                    # A shingle weighs 1 at least.
+                    best = c.both / (c.own + c.foreign.sum(1) + block.total[c.item] - c.both)
+                    k = np.flatnonzero(best >= SIMILARITY - _SLACK)
+                    size = min(SHINGLE, block.words[c.item])
+                    where = c.foreign[k]
+                    cut = np.concatenate([[0], np.cumsum(where.sum(1))]).astype(np.int32)
+                    m = len(k)
+                    yield pa.RecordBatch.from_arrays(
+                        [name.take(pa.array(np.full(m, i + c.doc))), pa.array(np.full(m, row + i + c.doc)),
+                         pa.array(np.full(m, c.item)), pa.array([block.ids[c.item]] * m, pa.int64()),
+                         pa.array(c.start[k]), pa.array(c.end[k] - c.start[k] + size - 1),
+                         pa.array(c.own[k]), pa.array(c.both[k]), pa.array(np.full(m, block.total[c.item])),
+                         pa.ListArray.from_arrays(pa.array(cut), pa.array(c.grams[k][where].view(np.int64)))],
+                        [column, *(f.split()[0] for f in _FOUND.split(", "))],
+                    )
+            row += rows.num_rows
+
+    found = docs.mapInArrow(run, f"{column} {kind}, {_FOUND}")
+    # Rows are numbered within a task.
+    return found.withColumn("task", F.spark_partition_id()).withColumn("window", F.monotonically_increasing_id())
+
+
+def _decided(found: DataFrame, counts: DataFrame, rare: float, column: str) -> DataFrame:
+    """The best window of each row and item, once the shingles of other blocks are weighed."""
+    met = found.select("window", F.explode("foreign").alias("gram"))
+    more = (
+        split_join(met, counts, "gram", "left").groupBy("window")
+        .agg(F.sum(F.lit(rare) - F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("more"))
+    )
+    own = F.col("own") + F.coalesce("more", F.lit(0.0))
+    sim = F.round(F.col("both") / (own + F.col("total") - F.col("both")), 12)
+    near = found.drop("foreign").join(more, "window", "left").withColumn("similarity", sim)
+    rest = [F.col(c) for c in (column, "item_id", "similarity", "start_word", "n_words")]
+    best = F.min(F.struct((-F.col("similarity")).alias("far"), F.col("start_word").alias("at"), F.struct(*rest).alias("match")))
+    return (
+        near.filter(F.col("similarity") >= SIMILARITY).groupBy("task", "row", "item")
+        .agg(best.alias("best")).select("best.match.*")
+    )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -248,6 +352,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES)
     names = ["doc_id", "item_id", "similarity", "start_word", "n_words"]
     schema = "doc_id long, item_id long, similarity double, start_word long, n_words long"
     out = docs.sparkSession.createDataFrame([], schema)
+    if _n_blocks(_items(benchmark), item_bytes) > 1:
+        counts = _counts(_items(benchmark))
+        for block in blocks(benchmark, item_bytes, counts):
+            found = staged(_found(docs, block, "doc_id", "long"), "windows")
+            out = out.unionByName(_decided(found, counts, block.rare, "doc_id"))
+        return out
     for block in blocks(benchmark, item_bytes):
 
         def run(batches, block=block):
@@ -271,6 +381,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The documents that hold no benchmark item, with their columns as they are."""
+    if _n_blocks(_items(benchmark), item_bytes) > 1:
+        # What a text holds depends on the text alone.
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        counts = _counts(_items(benchmark))
+        named = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text"))
+        hit = None
+        for block in blocks(benchmark, item_bytes, counts):
+            found = staged(_found(named, block, "digest", "string"), "windows")
+            own = _decided(found, counts, block.rare, "digest").select("digest")
+            hit = own if hit is None else hit.unionByName(own)
+        hit = staged(hit.distinct(), "contaminated")
+        whole = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(text, 256).alias("digest"))
+        return split_join(whole, hit, "digest", "left_anti").select("row.*")
     out = docs
     for block in blocks(benchmark, item_bytes):
 
