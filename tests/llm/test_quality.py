@@ -82,3 +82,20 @@ def test_trees_respect_constraints_and_fit():
         assert (sign * steps >= -1e-12).all()
     constant = boost.fit(np.zeros((20, 2)), np.tile([0.0, 1.0], 10), np.zeros(2))
     assert np.allclose(constant.score(np.zeros((3, 2))), 0, atol=1e-6)
+
+
+def test_labelled_rows_are_bounded_when_an_id_repeats(spark, monkeypatch):
+    """A labelled id that many documents have counts as one row."""
+    seen, features = [], Q._features
+
+    def counted(rows, model):
+        seen.append(rows.count())
+        return features(rows, model)
+
+    monkeypatch.setattr(Q, "_features", counted)
+    texts = [(k, f"text {k} of some words") for k in range(40)]
+    texts += [(k % 4, f"copy {n} of a hot id") for n in range(100) for k in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    Q.train(docs, labels, 30)
+    assert seen and max(seen) <= 30

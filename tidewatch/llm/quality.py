@@ -170,18 +170,25 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows: the distinct labels whose ids hash lowest."""
+    """Fit on at most ``sample`` labelled rows: the distinct labels whose ids hash lowest.
+
+    Of rows that repeat an id, the text with the smallest hash stands for the label.
+    """
     picked = (
         labels.select("doc_id", "quality", "toxic").dropna().distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
         .select(
-            "doc_id",
+            "doc_id", "quality", "toxic",
             ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"),
             (F.xxhash64(F.col("doc_id"), F.lit("half")) % 2 == 0).alias("first"),
         )
     )
     rows = staged(
-        text_rows(docs, "doc_id").join(picked, "doc_id").select("text", "good", "first"), "labelled"
+        text_rows(docs, "doc_id").join(picked, "doc_id")
+        .groupBy("doc_id", "quality", "toxic", "good", "first")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+        .select("one.text", "good", "first"),
+        "labelled",
     )
     try:
         n_good, n = rows.filter("first").agg(F.sum("good"), F.count("*")).first()
