@@ -134,3 +134,13 @@ def test_components_of_paths_and_stars(spark, monkeypatch, local):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {f"{a:03}": "000" for a in range(61)} | {f"{b}": "900" for b in range(900, 990)}
     assert components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_near_copies_under_one_id(spark):
+    """Texts that differ link although no other id is in their tiles."""
+    words = [f"w{k}" for k in range(120)]
+    near = [*words[:60], "edited", *words[61:]]
+    other = [f"o{k}" for k in range(120)]
+    rows = [(7, " ".join(words)), (7, " ".join(near)), (8, " ".join(other)), (8, "apart from the others it is")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(r.doc_id for r in kept) == [7, 8, 8]

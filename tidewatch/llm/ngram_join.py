@@ -143,13 +143,13 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _posts(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Tile keys of every document; of equal sets in a batch only those of the first."""
+    """Tile keys of every text by its hash; of equal sets in a batch only those of the first."""
     schemes = bands(percent)
 
     def run(batches):
         for rows in batches:
             data, offsets = utf8(rows.column("text"))
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = rows.column("h").to_numpy(zero_copy_only=False)
             met: set[tuple[int, int]] = set()
             for i, j in groups(offsets):
                 grams, first = shingle_sets(data, offsets[i : j + 1], n)
@@ -164,18 +164,21 @@ def _posts(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     # 48 bits of key are enough to tell tiles apart: a chance match costs a look.
                     [pa.array((np.concatenate(keys) >> _U(16)).view(np.int64)), pa.array(np.repeat(ids[i:j], sizes))],
-                    ["key", "doc_id"],
+                    ["key", "h"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+    return docs.select("h", "text").mapInArrow(run, "key long, h long")
 
 
 def _shared(posts: DataFrame) -> DataFrame:
-    """Posts of the keys that several ids have, told while reading them in the order of the keys."""
+    """Posts of the keys that several texts have, told while reading them in the order of the keys.
+
+    A text is known by its hash, as rows that repeat an id may differ; its copies in a tile are one post.
+    """
     def run(batches):
         last = None  # the post that came last, and whether it was passed on
         for rows in batches:
-            key, doc = (rows.column(c).to_numpy() for c in ("key", "doc_id"))
+            key, doc = (rows.column(c).to_numpy() for c in ("key", "h"))
             if not len(key):
                 continue
             if last is not None:
@@ -193,16 +196,17 @@ def _shared(posts: DataFrame) -> DataFrame:
             out = wide[run_of]
             if last is not None and last[2]:
                 out[0] = False  # passed on before
+            out[1:] &= new[1:] | (doc[1:] != doc[:-1])
             # The last post waits for what follows, unless it is passed on already.
             told = bool(wide[-1])
             if not told:
                 out[start[-1] :] = False
-            # Posts of the open key that equal its first id need not be kept apart.
+            # Posts of the open key that equal its first text need not be kept apart.
             last = (key[-1], doc[start[-1]], told)
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out])], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out])], ["key", "h"])
 
-    dealt = posts.repartition("key").sortWithinPartitions("key", "doc_id")
-    return dealt.mapInArrow(run, "key long, doc_id long")
+    dealt = posts.repartition("key").sortWithinPartitions("key", "h")
+    return dealt.mapInArrow(run, "key long, h long")
 
 
 def _digests(grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +321,7 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between different sets, enough of them to connect whatever is linked."""
     shared = staged(_shared(_posts(docs, n, percent)), "shared")
     held = sets.filter("n > 0").withColumn("node", _node())
-    tiles = staged(shared.join(held.select("doc_id", "node"), "doc_id").select("key", "node").distinct(), "tiles")
+    tiles = staged(shared.join(held.select("h", "node").distinct(), "h").select("key", "node").distinct(), "tiles")
     # Of the tiles with equal members one is enough.
     shape = tiles.groupBy("key").agg(
         F.count("*").alias("m"),
@@ -326,7 +330,7 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     ).filter("m > 1")
     chosen = shape.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key")
     needed = tiles.select("node").distinct()
-    one = F.min(F.struct("doc_id", "n", "bits")).alias("one")
+    one = F.min(F.struct("doc_id", "h", "n", "bits")).alias("one")
     classes = staged(
         split_join(held, needed, "node", "left_semi").groupBy("node").agg(one).select("node", "one.*"),
         "classes",
@@ -337,9 +341,9 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
         blocks.join(classes.select("node", "n", "bits"), "node"), "key", percent, exact=False
     )
     grouped = staged(components(maybe), "groups")
-    ids = classes.join(grouped.select("node"), "node").select("doc_id").distinct()
+    ids = classes.join(grouped.select("node"), "node").select("doc_id", "h").distinct()
     arrays = staged(
-        _arrays(docs.join(ids, "doc_id"), n).withColumn("node", _node())
+        _arrays(docs.join(ids, ["doc_id", "h"]), n).withColumn("node", _node())
         .join(grouped, "node").select("node", "label", "n", "grams"),
         "arrays",
     )
