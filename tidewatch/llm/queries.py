@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan
+from . import collocations, secret_scan, top_k
 from .spark_io import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,29 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
     return judge(read(spark, sf_dir, "pages", "page_id", "url"))
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose parts hold together most."""
+    return collocations.collocations(read(spark, sf_dir, "documents", "lang", "text"))
+
+
+ORACLE["op11_phrase_collocations"] = collocations.oracle_sql()
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in each document, a tenth of which are made periodic first."""
+    from .periodic_runs import planted, run_digest
+
+    return run_digest(planted(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors nearest by inner product to every fiftieth one."""
+    return top_k.integer_top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+ORACLE["op13_exact_top_k"] = top_k.oracle_sql()
