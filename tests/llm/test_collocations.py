@@ -83,7 +83,7 @@ def test_blocks_that_cut_pieces(spark, monkeypatch):
     rows = sample(9, 25) + [("en", "alpha beta gamma w1 " * 200), (None, "y" * 300 + " z " + "y" * 300)]
     df = frame(spark, rows, 2)
     want = brute(rows, 4)
-    for name, value in (("BLOCK_WORDS", 13), ("SLICE", 64), ("PENDING_WORDS", 50)):
+    for name, value in (("BLOCK_WORDS", 13), ("SLICE", 64), ("PENDING_WORDS", 50), ("ROW", 3), ("POSTS", 20), ("BLOCKS", 4)):
         monkeypatch.setattr(C, name, value)
     # The workers import the module themselves: hand them the functions as they are here.
     from pyspark import cloudpickle as pickler

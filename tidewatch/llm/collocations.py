@@ -10,11 +10,13 @@ The method keeps a relation of occurrences for each phrase length and never look
    phrases of ``k`` words make one of ``k + 1``. A group is known by the ids of its first and its
    last ``k`` words, so no text is compared or hashed from there on.
 
-Occurrences lie in blocks of about ``BLOCK_WORDS`` words of one language. Within a block piece and
-position are one number that skips one between pieces, so "same piece and adjacent" is "differs by
-one", and a piece that is cut by the end of a block is followed by the next ``max_words - 1`` words,
-which can end a phrase but not begin one. A block sends each distinct group once with its count and
-gets back the ids of the frequent ones, so a group that fills the corpus costs a row per block.
+Occurrences lie in blocks of about ``BLOCK_WORDS`` words of one language, as packed arrays. Within a
+block piece and position are one number that skips one between pieces, so "same piece and adjacent" is
+"differs by one", and a piece that is cut by the end of a block is followed by the next
+``max_words - 1`` words, which can end a phrase but not begin one. A block posts each distinct group
+once with its count: tasks add up their posts, a shuffle the rest. For the semi-join posts are dealt
+by group and, where there are many blocks, by block too, so a group that fills the corpus is spread;
+frequent ones return to their block with their id.
 
 Defined results: A-Z count as a-z; a null language is ``und``; a null or empty text has no words;
 rows that repeat an id are documents of their own; other columns are ignored; an empty table gives
@@ -27,48 +29,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import mix
 from .spark_io import drop, split_join, staged
 
-#: Words in a block, occurrences in a row of a block, and bytes that are cut into words at once.
-BLOCK_WORDS, ROW, SLICE = 1 << 18, 1024, 1 << 20
+#: Words in a block, occurrences or posts in a row of a block, and bytes cut into words at once.
+BLOCK_WORDS, ROW, SLICE = 1 << 19, 4096, 1 << 20
 #: A task holds back at most so many words in the unfinished blocks of all languages together.
-PENDING_WORDS = 1 << 20
+PENDING_WORDS = 1 << 21
+#: Posts that are added up or matched together, and most blocks among them.
+POSTS, BLOCKS = 1 << 20, 1 << 14
 #: Breaks between pieces, as a byte that UTF-8 has not.
 _BREAK = b"\xff"
 _SIGNS = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _BREAK * 10
 )
 
-_LONG, _INT = pa.int64(), pa.int32()
-_HEAD = [("block", _LONG), ("lang", pa.string()), ("own", _INT), ("seq", _INT)]
-_OCCURRENCE = [("gap", pa.list_(_INT)), ("code", pa.list_(_INT)), ("n", pa.list_(_INT))]
-_WORDS = pa.schema([*_HEAD, *_OCCURRENCE, ("word", pa.list_(pa.binary()))])
-_PAIRS = pa.schema([*_HEAD, *_OCCURRENCE, ("g1", pa.list_(_LONG)), ("g2", pa.list_(_LONG))])
-_SQL = "block long, lang string, own int, seq int, gap array<int>, code array<int>, n array<int>, "
-
-
-def _lists(values, rows: int) -> pa.ListArray:
-    """Values in lists of ``ROW``, padded by empty lists."""
-    values = values if isinstance(values, pa.Array) else pa.array(values)
-    offsets = np.minimum(np.arange(rows + 1) * ROW, len(values)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
-
-
-def _block(schema: pa.Schema, block: int, lang: str, own: int, at, code, **groups) -> pa.RecordBatch:
-    """A block as rows of ``ROW`` occurrences, with ``ROW`` distinct groups each while there are some."""
-    rows = -(-len(at) // ROW)
-    gap = np.diff(at, prepend=0).astype(np.int32)
-    columns = [
-        pa.array(np.full(rows, block, np.int64)), pa.array([lang] * rows, pa.string()),
-        pa.array(np.full(rows, own, np.int32)), pa.array(np.arange(rows, dtype=np.int32)),
-        _lists(gap, rows), _lists(np.asarray(code, np.int32), rows),
-    ]
-    columns += [_lists(groups[f.name], rows) for f in list(schema)[len(columns) :]]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
+_LONG, _INT, _BYTES = pa.int64(), pa.int32(), pa.binary()
+#: ``size`` occurrences (gap to the one before, group) and ``posts`` groups (first and last part, count).
+_RELATION = pa.schema([
+    ("block", _LONG), ("lang", pa.string()), ("own", _INT), ("seq", _INT),
+    ("size", _INT), ("occurrences", _BYTES), ("posts", _INT), ("groups", _BYTES), ("words", _BYTES),
+])
+_OCCURRENCES, _GROUPS, _MATCHES = ("<i4", "<i4"), ("<i8", "<i8", "<i4"), ("<i4", "<i8")
+_ASKED = ("<i8", "<i8", "<i4")
+
+
+def _sql(schema: pa.Schema) -> str:
+    names = {_LONG: "long", _INT: "int", _BYTES: "binary", pa.string(): "string"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _pack(arrays, kinds: tuple[str, ...]) -> bytes:
+    """Arrays of one length as compressed bytes."""
+    data = b"".join(np.asarray(x).astype(k).tobytes() for x, k in zip(arrays, kinds, strict=True))
+    return pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    sizes = [n * np.dtype(k).itemsize for k in kinds]
+    data = pa.decompress(data, sum(sizes), "zstd", asbytes=True)
+    at = np.cumsum([0, *sizes])
+    return [np.frombuffer(data, k, n, i) for k, i in zip(kinds, at[:-1], strict=True)]
+
+
+def _unpacked(rows, size: str, data: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of all rows in order, one after the other."""
+    parts = [
+        _unpack(x, n, kinds)
+        for n, x in zip(rows.column(size).to_pylist(), rows.column(data).to_pylist(), strict=True)
+    ]
+    return [np.concatenate([p[k] for p in parts]) for k in range(len(kinds))]
+
+
+def _block(block: int, lang: str, own: int, at, code, groups: tuple, words: list[bytes] | None = None) -> pa.RecordBatch:
+    """A block as rows of ``ROW`` occurrences, with ``ROW`` of its groups each while there are some."""
+    gap, out = np.diff(at, prepend=0), []
+    for seq, i in enumerate(range(0, len(at), ROW)):
+        post = [x[i : i + ROW] for x in groups]
+        out.append((
+            block, lang, own, seq,
+            len(at[i : i + ROW]), _pack((gap[i : i + ROW], code[i : i + ROW]), _OCCURRENCES),
+            len(post[0]), _pack(post, _GROUPS), words and _BREAK.join(words[i : i + ROW]),
+        ))
+    columns = list(zip(*out, strict=True)) or [[] for _ in _RELATION]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, _RELATION, strict=True)], schema=_RELATION
+    )
 
 
 def _tokens(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -100,8 +131,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[pa.R
         if gone >= 0:
             code = code - (code > gone)
             known = pa.concat_arrays([known[:gone], known[gone + 1 :]])
-        n = np.bincount(code[at < own], minlength=len(known)).astype(np.int32)
-        return _block(_WORDS, block, lang, own, at, code, n=n, word=known)
+        n = np.bincount(code[at < own], minlength=len(known))
+        known, name = known.to_pylist(), lang.encode() + _BREAK
+        keys = b"".join([xxhash.xxh3_128_digest(name + w) for w in known])
+        keys = np.frombuffer(keys, "<i8").reshape(-1, 2)
+        return _block(block, lang, own, at, code, (keys[:, 0], keys[:, 1], n), known)
 
     for rows in batches:
         texts = rows.column("text").cast(pa.large_binary()).to_pylist()
@@ -128,38 +162,124 @@ def _by_value(column: pa.Array) -> list[tuple[str, np.ndarray]]:
     return [(v, order[cuts[i] : cuts[i + 1]]) for i, v in enumerate(coded.dictionary.to_pylist())]
 
 
-def _flat(column: pa.ChunkedArray, order: np.ndarray) -> np.ndarray:
-    return column.take(pa.array(order)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the groups of a task's blocks, added up while they are at hand."""
+    schema = pa.schema([("g1", _LONG), ("g2", _LONG), ("n", _LONG), ("lang", pa.string()), ("word", _BYTES)])
+
+    def flush(held: list, langs: list, words: list) -> pa.RecordBatch:
+        g1, g2, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.lexsort((g2, g1))
+        g1, g2 = g1[order], g2[order]
+        new = np.flatnonzero(np.append(True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])))
+        n = np.add.reduceat(n[order].astype(np.int64), new)
+        size, first = len(new), order[new]
+        lang = word = pa.nulls(size)
+        if words:
+            word = [words[i] for i in first]
+            lang = [langs[i] for i in np.repeat(np.arange(len(held)), [len(h[0]) for h in held])[first]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type)
+             for x, f in zip((g1[new], g2[new], n, lang, word), schema, strict=True)], schema=schema,
+        )
+
+    held, langs, words, size = [], [], [], 0
+    for rows in batches:
+        columns = (rows.column(c).to_pylist() for c in ("posts", "groups", "lang", "words"))
+        for n, data, lang, text in zip(*columns, strict=True):
+            if not n:
+                continue
+            held.append(_unpack(data, n, _GROUPS))
+            langs.append(lang)
+            size += n
+            if text is not None:
+                words += text.split(_BREAK)
+            if size >= POSTS:
+                yield flush(held, langs, words)
+                held, langs, words, size = [], [], [], 0
+    if held:
+        yield flush(held, langs, words)
+
+
+def _dealt(g1: np.ndarray, g2: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(mix(g1.view(np.uint64)) + g2.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def _frequent(relation: DataFrame, found: DataFrame) -> DataFrame:
+    """The frequent groups of each block with their ids, packed: ``block``, ``size``, ``matches``."""
+    posts, blocks = relation.agg(F.sum("posts"), F.count_distinct("block")).first()
+    spread = -(-(blocks or 1) // BLOCKS)
+    parts = -(-(posts or 1) // (POSTS * spread))
+
+    def ask(batches):
+        for rows in batches:
+            out = []
+            columns = (rows.column(c).to_pylist() for c in ("block", "seq", "posts", "groups"))
+            for block, seq, n, data in zip(*columns, strict=True):
+                g1, g2, _ = _unpack(data, n, _GROUPS)
+                part = _dealt(g1, g2, parts)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                for i, j in zip(cuts, np.append(cuts[1:], n), strict=True):
+                    own = order[i:j]
+                    local = own + seq * ROW
+                    out.append((int(part[own[0]]), hash(block) % spread, block, j - i, _pack((g1[own], g2[own], local), _ASKED)))
+            if out:
+                kinds = (_INT, _INT, _LONG, _INT, _BYTES)
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "salt", "block", "size", "asked"])
+
+    def deal(batches):
+        for rows in batches:
+            g1, g2 = rows.column("g1").to_numpy(), rows.column("g2").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_dealt(g1, g2, parts)), *rows.columns], ["part", "g1", "g2", "gid"])
+
+    def match(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and known.num_rows:
+            key1, key2 = (np.unique(known.column(c).to_numpy()) for c in ("g1", "g2"))
+            at = lambda a, b: np.searchsorted(key1, a) * (len(key2) + 1) + np.searchsorted(key2, b)
+            keys = at(known.column("g1").to_numpy(), known.column("g2").to_numpy())
+            order = np.argsort(keys)
+            keys, k1, k2, gid = (x[order] for x in (keys, *(known.column(c).to_numpy() for c in ("g1", "g2", "gid"))))
+            columns = (asked.column(c).to_pylist() for c in ("block", "size", "asked"))
+            for block, n, data in zip(*columns, strict=True):
+                g1, g2, local = _unpack(data, n, _ASKED)
+                place = np.minimum(np.searchsorted(keys, at(g1, g2)), len(keys) - 1)
+                hit = np.flatnonzero((k1[place] == g1) & (k2[place] == g2))
+                if len(hit):
+                    out.append((block, len(hit), _pack((local[hit], gid[place[hit]]), _MATCHES)))
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (_LONG, _INT, _BYTES), strict=True)], ["block", "size", "matches"])
+
+    asked = relation.filter("posts > 0").select("block", "seq", "posts", "groups").mapInArrow(
+        ask, "part int, salt int, block long, size int, asked binary"
+    )
+    known = found.select("g1", "g2", "gid").mapInArrow(deal, "part int, g1 long, g2 long, gid long").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    )
+    return asked.groupBy("part", "salt").cogroup(known.groupBy("part", "salt")).applyInArrow(
+        match, "block long, size int, matches binary"
+    )
 
 
 def _longer(rows: pa.Table, frequent: pa.Table) -> pa.Table:
     """One block of the next relation: the frequent occurrences merged with themselves one further."""
     if not rows.num_rows or not frequent.num_rows:
-        return _PAIRS.empty_table()
-    order = np.argsort(rows.column("seq").to_numpy())
-    at, code = np.cumsum(_flat(rows.column("gap"), order)), _flat(rows.column("code"), order)
-    known = np.full(int(code.max()) + 1, -1, np.int64)
-    known[frequent.column("local").to_numpy()] = frequent.column("gid").to_numpy()
+        return _RELATION.empty_table()
+    rows = rows.take(pa.array(np.argsort(rows.column("seq").to_numpy())))
+    gap, code = _unpacked(rows, "size", "occurrences", _OCCURRENCES)
+    local, gid = _unpacked(frequent, "size", "matches", _MATCHES)
+    known = np.full(max(int(code.max()), int(local.max())) + 1, -1, np.int64)
+    known[local] = gid
     stay = np.flatnonzero(known[code] >= 0)
-    at, code = at[stay], code[stay].astype(np.int64)
+    at, code = np.cumsum(gap, dtype=np.int64)[stay], code[stay].astype(np.int64)
     first = np.flatnonzero(at[1:] == at[:-1] + 1)
-    if not len(first):
-        return _PAIRS.empty_table()
     pairs, place = np.unique(code[first] * len(known) + code[first + 1], return_inverse=True)
     at, own = at[first], int(rows.column("own")[0].as_py())
-    n = np.bincount(place[at < own], minlength=len(pairs)).astype(np.int32)
-    out = _block(
-        _PAIRS, rows.column("block")[0].as_py(), rows.column("lang")[0].as_py(), own, at, place,
-        n=n, g1=known[pairs // len(known)], g2=known[pairs % len(known)],
-    )
-    return pa.Table.from_batches([out])
-
-
-def _groups(relation: DataFrame, *columns: str) -> DataFrame:
-    """The distinct groups of each block, numbered as in ``code``, with their counts."""
-    zipped = F.posexplode(F.arrays_zip("n", *columns)).alias("i", "g")
-    return relation.select("block", "lang", "seq", zipped).select(
-        "block", "lang", (F.col("seq") * ROW + F.col("i")).alias("local"), "g.*"
+    n = np.bincount(place[at < own], minlength=len(pairs))
+    groups = known[pairs // len(known)], known[pairs % len(known)], n
+    return pa.Table.from_batches(
+        [_block(rows.column("block")[0].as_py(), rows.column("lang")[0].as_py(), own, at, place, groups)]
     )
 
 
@@ -181,37 +301,40 @@ def phrases(docs: DataFrame, min_count: int, max_words: int) -> tuple[DataFrame,
     ).filter("length(text) > 0")
     relation = staged(
         texts.mapInArrow(
-            lambda b: _occurrences((x for x in b if x.num_rows), max_words - 1), _SQL + "word array<binary>"
+            lambda b: _occurrences((x for x in b if x.num_rows), max_words - 1), _sql(_RELATION)
         ),
         "words",
     )
-    total = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)
-    sizes = staged(relation.groupBy("lang").agg(F.sum(total).alias("n")), "sizes")
+
+    def counted(relation: DataFrame, *more: str) -> DataFrame:
+        added = relation.select("posts", "groups", "lang", "words").mapInArrow(
+            _added, "g1 long, g2 long, n long, lang string, word binary"
+        )
+        return added.groupBy("g1", "g2", *more).agg(F.sum("n").alias("a"))
+
     longs = F.array().cast("array<long>")
-    counted = _groups(relation, "word").groupBy("lang", "word").agg(F.sum("n").alias("a"))
+    words = staged(counted(relation, "lang", "word"), "counts")
+    sizes = words.groupBy("lang").agg(F.sum("a").alias("n"))
     found = [
         _numbered(
-            counted.filter(F.col("a") >= min_count).select(
-                "lang", F.array("word").alias("words"), "a",
+            words.filter(F.col("a") >= min_count).select(
+                "g1", "g2", "lang", F.array("word").alias("words"), "a",
                 longs.alias("heads"), longs.alias("tails"), longs.alias("inner"),
             ), 1,
         )
     ]
-    keys = found[0].select("lang", F.col("words")[0].alias("word"), "gid")
-    back = split_join(_groups(relation, "word"), keys, ["lang", "word"])
     for size in range(2, max_words + 1):
+        matches = _frequent(relation, found[-1])
         longer = (
-            relation.select("block", "lang", "own", "seq", "gap", "code").groupBy("block")
-            .cogroup(back.select((F.col("block") + 0).alias("block"), "local", "gid").groupBy("block"))
-            .applyInArrow(_longer, _SQL + "g1 array<long>, g2 array<long>")
+            relation.select("block", "lang", "own", "seq", "size", "occurrences").groupBy("block")
+            .cogroup(matches.select((F.col("block") + 0).alias("block"), "size", "matches").groupBy("block"))
+            .applyInArrow(_longer, _sql(_RELATION))
         )
         after = staged(longer, f"pairs{size}")
         drop(relation)
         relation = after
-        counted = _groups(relation, "g1", "g2").groupBy("g1", "g2").agg(F.sum("n").alias("a"))
-        found.append(_numbered(_described(counted.filter(F.col("a") >= min_count), found[-1], size), size))
-        keys = found[-1].select("g1", "g2", "gid")
-        back = split_join(_groups(relation, "g1", "g2"), keys, ["g1", "g2"])
+        more = counted(relation).filter(F.col("a") >= min_count)
+        found.append(_numbered(_described(more, found[-1], size), size))
     drop(relation)
     return sizes, found
 
