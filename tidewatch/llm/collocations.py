@@ -38,7 +38,7 @@ from .scan import mix
 from .spark_io import drop, split_join, staged
 
 #: Words in a block, occurrences or posts in a row of a block, and bytes cut into words at once.
-BLOCK_WORDS, ROW, SLICE = 1 << 19, 4096, 1 << 20
+BLOCK_WORDS, ROW, SLICE = 1 << 20, 4096, 1 << 20
 #: A task holds back at most so many words in the unfinished blocks of all languages together.
 PENDING_WORDS = 1 << 21
 #: Posts that are added up or matched together, and most blocks among them.
@@ -208,25 +208,37 @@ def _frequent(relation: DataFrame, found: DataFrame) -> DataFrame:
     """The frequent groups of each block with their ids, packed: ``block``, ``size``, ``matches``."""
     posts, blocks = relation.agg(F.sum("posts"), F.count_distinct("block")).first()
     spread = -(-(blocks or 1) // BLOCKS)
-    parts = -(-(posts or 1) // (POSTS * spread))
+    parts = -(-(posts or 1) // (2 * POSTS * spread))
+
+    def dealt(block: int, held: list) -> pa.RecordBatch:
+        """All posts of a block, one row for each part of them."""
+        g1, g2, local = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = _dealt(g1, g2, parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        own = [order[i:j] for i, j in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([part[o[0]] for o in own], _INT), pa.array([hash(block) % spread] * len(own), _INT),
+                pa.array([block] * len(own), _LONG), pa.array([len(o) for o in own], _INT),
+                pa.array([_pack((g1[o], g2[o], local[o]), _ASKED) for o in own], _BYTES),
+            ],
+            ["part", "salt", "block", "size", "asked"],
+        )
 
     def ask(batches):
+        held, at = [], None  # the rows of a block follow each other
         for rows in batches:
-            out = []
             columns = (rows.column(c).to_pylist() for c in ("block", "seq", "posts", "groups"))
             for block, seq, n, data in zip(*columns, strict=True):
+                if held and block != at:
+                    yield dealt(at, held)
+                    held = []
                 g1, g2, _ = _unpack(data, n, _GROUPS)
-                part = _dealt(g1, g2, parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-                for i, j in zip(cuts, np.append(cuts[1:], n), strict=True):
-                    own = order[i:j]
-                    local = own + seq * ROW
-                    out.append((int(part[own[0]]), hash(block) % spread, block, j - i, _pack((g1[own], g2[own], local), _ASKED)))
-            if out:
-                kinds = (_INT, _INT, _LONG, _INT, _BYTES)
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "salt", "block", "size", "asked"])
+                held.append((g1, g2, np.arange(n) + seq * ROW))
+                at = block
+        if held:
+            yield dealt(at, held)
 
     def deal(batches):
         for rows in batches:
