@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from tidewatch import plans as P
 from tidewatch.operators import dropped_events
+from tidewatch.plans.batches import PUBLISHED_ORDER
 from tidewatch.plans.charts import chart_captions
 from tidewatch.session import stage
 from tidewatch.sources import (
+    read_published,
+    snapshot_dates,
     commit_snapshot,
     dense_grid,
     dimension,
@@ -613,3 +616,26 @@ def test_publish_the_summary(spark, school, tmp_path):
     base = str(tmp_path)
     publish({"latest_summary": school["latest_summary"]}, base, AS_OF)
     assert spark.read.parquet(f"{base}/en/latest/latest_summary").count() == 72
+
+
+def test_every_published_table_has_an_order(nightly, school):
+    tables = {**nightly, **school}
+    assert not set(tables) - set(PUBLISHED_ORDER)
+    for name, df in tables.items():
+        assert not set(PUBLISHED_ORDER[name]) - set(df.columns), name
+
+
+def test_both_batches_run_twice(spark, inputs, rows, tmp_path):
+    """From extracts to published bundles, recipients' files and snapshots; the second day has no news."""
+    base, snapshots = str(tmp_path / "out"), str(tmp_path / "snapshots")
+    days = (AS_OF - dt.timedelta(days=1), AS_OF)
+    for day in days:
+        P.run_nightly(inputs, day, HOME, base, snapshots)
+        P.run_schools(inputs["investigations"], inputs["cases"], day, HOME, base, snapshots)
+    for name, order in PUBLISHED_ORDER.items():
+        df = read_published(spark, base, name)
+        assert not set(order) - set(df.columns), name
+    assert read_published(spark, base, "new_cases").count() == 0
+    assert read_published(spark, base, "cohort").count() > 0
+    for name in ("hospital", "cohort", "minors"):
+        assert snapshot_dates(spark, f"{snapshots}/{name}") == list(days)

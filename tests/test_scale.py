@@ -86,6 +86,21 @@ def test_linkage_splits_a_hot_id(spark, small_skew):
     assert general.count() == 30_000
 
 
+def test_joins_read_each_input_once_or_its_ids_again(spark, no_broadcast, tmp_path):
+    """Counts of scans as executed: shuffles that serve twice are there once."""
+    def scans(df) -> list[str]:
+        df.collect()
+        return re.findall(r"ReadSchema: struct<(.*?)>", plan(df).split("== Initial Plan ==")[0])
+
+    hot(spark).withColumn("x", F.col("v")).write.parquet(str(tmp_path / "a"))
+    hot(spark, 30_000, "w").write.parquet(str(tmp_path / "b"))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    few = b.filter("k <> 'hot'")  # pairs of a key that is hot on both sides would be many
+    assert len(scans(O.natural_full_join(a.drop("x"), few))) == 2
+    found = scans(O.link_records(a, few, "k", null_safe=True))
+    assert sorted(found) == sorted(["k:string", "k:string", "k:string,v:string,x:string", "k:string,w:string"])
+
+
 def test_anti_join_splits_a_hot_id_and_sets_missing_ids_apart(spark, small_skew):
     gone = spark.createDataFrame([("nobody",), ("1",)], "k string")
     out = O.new_records(hot(spark), gone, "k")

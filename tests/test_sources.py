@@ -16,13 +16,18 @@ from tidewatch.sources import (
     dimension_names,
     latest_snapshot_date,
     normalize_columns,
+    prune,
     publish,
     read_extract,
+    read_published,
     read_snapshot,
+    refresh_copies,
+    snapshot_dates,
     with_input_order,
     write_by_recipient,
     write_extract,
 )
+from tidewatch.sources import commits, sinks
 from tidewatch.sources.dimensions import dimension_table
 
 D = dt.date
@@ -220,3 +225,105 @@ def test_latest_is_swapped_at_once_and_sorted(spark, rows, tmp_path):
     publish({"a": spark.createDataFrame([(3,), (1,), (2,)], "x int")}, base, "2021-09-03", order={"a": ["x"]})
     assert [r.x for r in spark.read.parquet(f"{base}/en/latest/a").collect()] == [1, 2, 3]
     assert spark.read.parquet(f"{base}/en/latest/b").count() == 2
+
+
+def test_a_bundle_is_whole_whenever_the_run_dies(spark, rows, tmp_path, monkeypatch):
+    """Before the commit readers see the old bundle, after it the new one."""
+    base = str(tmp_path / "pub")
+    frame = lambda *x: spark.createDataFrame([(v,) for v in x], "x int")
+    seen = lambda name: rows(read_published(spark, base, name))
+    publish({"a": frame(1), "b": frame(1), "c": frame(1)}, base, "2021-09-01")
+    for step, holds in (("commit", 1), ("refresh", 2)):
+        with monkeypatch.context() as m:
+            def die(*args):
+                raise RuntimeError("killed")
+
+            if step == "commit":
+                m.setattr(sinks.commits, "commit", die)
+            else:
+                m.setattr(sinks, "_swap", die)
+            with pytest.raises(RuntimeError, match="killed"):
+                publish({"a": frame(2), "b": frame(2)}, base, "2021-09-02")
+        assert seen("a") == seen("b") == [(holds,)] and seen("c") == [(1,)]
+    assert rows(spark.read.parquet(f"{base}/en/latest/a")) == [(1,)]
+    refresh_copies(spark, base)
+    assert rows(spark.read.parquet(f"{base}/en/latest/a")) == [(2,)]
+    assert rows(spark.read.parquet(f"{base}/en/latest/c")) == [(1,)]
+    assert rows(spark.read.parquet(f"{base}/en/as_of=2021-09-02/b")) == [(2,)]
+    with pytest.raises(ValueError, match="no table"):
+        read_published(spark, base, "d")
+
+
+def test_pruning_keeps_what_is_named(spark, rows, tmp_path):
+    base = str(tmp_path / "pub")
+    for n in range(5):
+        tables = {"a": spark.createDataFrame([(n,)], "x int")}
+        publish(tables if n else {**tables, "b": tables["a"]}, base, f"2021-09-0{n + 1}")
+    gone = prune(spark, f"{base}/en", keep=2)
+    assert len(gone) == 3 and len(list(Path(base, "en", "data").glob("*/*"))) == 3
+    assert rows(read_published(spark, base, "a")) == [(4,)] and rows(read_published(spark, base, "b")) == [(0,)]
+    assert prune(spark, f"{base}/en", keep=2) == []
+
+
+def test_two_runs_cannot_commit_the_same_version(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "log")
+    assert commits.current(spark, base) == {}
+    assert commits.commit(spark, base, {"n": 1}) == 1
+    monkeypatch.setattr(commits, "_numbers", lambda *a: [])  # a run that looked before the other's commit
+    with pytest.raises(OSError, match="another run"):
+        commits.commit(spark, base, {"n": 2})
+    monkeypatch.undo()
+    assert commits.current(spark, base) == {"n": 1}
+
+
+def test_a_snapshot_that_dies_keeps_what_the_day_had(spark, rows, tmp_path, monkeypatch):
+    path, some = str(tmp_path / "snap"), spark.createDataFrame([(1,)], "n int")
+    some.write.parquet(f"{path}/snapshot_date=2020-12-31")  # from elsewhere
+    commit_snapshot(some.selectExpr("n + 1 AS n"), path, "2021-01-01")
+    with monkeypatch.context() as m:
+        m.setattr(sinks.commits, "commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            commit_snapshot(some.selectExpr("n + 9 AS n"), path, "2021-01-01")
+    assert rows(read_snapshot(spark, path, "2021-01-02")) == [(2,)]
+    assert rows(read_snapshot(spark, path, "2021-01-01")) == [(1,)]
+    assert [str(d) for d in snapshot_dates(spark, path)] == ["2020-12-31", "2021-01-01"]
+
+
+def test_a_drill_down_touches_few_files(spark, tmp_path):
+    """Published by entity and date, a table is read in one file for one entity."""
+    base = str(tmp_path / "pub")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 4000, 1, 4).selectExpr("id * 7919 % 40 AS school", "id DIV 40 AS date")
+        publish({"t": df}, base, "2021-09-01", order={"t": ["school", "date"]})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    t = read_published(spark, base, "t")
+    assert len(t.inputFiles()) > 2
+    one = t.filter("school = 3").select("_metadata.file_name").distinct().count()
+    assert one <= 2
+    bounds = t.groupBy("_metadata.file_name").agg(F.min("school").alias("lo"), F.max("school").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi <= b.lo for a, b in zip(bounds, bounds[1:]))  # noqa: B905
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Session:
+        """A session on a cluster that names no folder."""
+
+        conf = sparkContext = None
+
+        def __init__(self, **named):
+            self.conf = self
+            self.sparkContext = self
+            self.master, self.named = "spark://host:7077", named
+
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return self.named.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(**{"spark.sql.warehouse.dir": "spark-warehouse"}))
+    assert shared_folder(Session(**{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert shared_folder(Session(), "hdfs://z") == "hdfs://z"

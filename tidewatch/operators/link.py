@@ -14,6 +14,7 @@ from .clean import Keys, _keys
 # where one of them comes out of an aggregation on the same id, and adaptive execution can split
 # the partitions of a hot id: it leaves a side alone whose shuffle serves something else as well.
 _KEY = "_key"
+_SIDES, _LEFT, _RIGHT = "_sides", 1, 2
 
 
 def _complete(keys: Sequence[str]) -> Column:
@@ -54,10 +55,11 @@ def link_records(
 ) -> DataFrame:
     """Join two record sets on an id, keeping what has no partner on either side.
 
-    A full outer join cannot be split when one key is hot. Matched rows, unmatched left rows and
-    unmatched right rows are computed apart instead, in joins that can be. If the right side has
-    at most one row per key (``right_unique``), a left outer join covers the first two. With
-    ``null_safe`` a missing key links to a missing key.
+    A full outer join cannot be split when one key is hot; an inner join can, on both sides. Ids
+    that one side lacks are told by one aggregate over the ids of both, and that side is given an
+    empty partner for each, so a single inner join keeps every row. If the right side has at most
+    one row per key (``right_unique``), a left outer join, which can be split too, needs no ids.
+    With ``null_safe`` a missing key links to a missing key.
     """
     keys = _keys(key)
     if how not in ("full", "left", "inner"):
@@ -65,37 +67,67 @@ def link_records(
     overlap = set(left.columns) & set(right.columns) - set(keys)
     if overlap:
         raise ValueError(f"rename the shared columns first: {sorted(overlap)}")
-    rows, incomplete = _keyed(left, keys, null_safe)
-    partners = _keyed(right, keys, null_safe)[0].drop(*keys)
-    if how != "inner" and right_unique:
-        out = rows.join(partners, _KEY, "left").drop(_KEY)
-        out = out.unionByName(incomplete, allowMissingColumns=True)
-    else:
-        out = rows.join(partners, _KEY, "inner").drop(_KEY)
-        if how != "inner":
-            lone = anti_join(left, right, keys, null_safe)
-            out = out.unionByName(lone, allowMissingColumns=True)
-    if how == "full":
-        lone = anti_join(right, left, keys, null_safe)
-        out = out.unionByName(lone, allowMissingColumns=True)
-    return out
+    rows, left_incomplete = _keyed(left, keys, null_safe)
+    partners, right_incomplete = _keyed(right, keys, null_safe)
+    if how == "left" and right_unique:
+        out = rows.join(partners.drop(*keys), _KEY, "left").drop(_KEY)
+        return out.unionByName(left_incomplete, allowMissingColumns=True)
+    if how != "inner":
+        rows, partners = _partnered(rows, partners, both=how == "full")
+    out = rows.drop(*keys).join(partners.drop(*keys), _KEY).select(
+        *[F.col(f"{_KEY}.`{k}`").alias(k) if k in keys else F.col(f"`{k}`") for k in left.columns],
+        *[F.col(f"`{c}`") for c in right.columns if c not in keys],
+    )
+    if null_safe or how == "inner":
+        return out
+    out = out.unionByName(left_incomplete, allowMissingColumns=True)
+    return out.unionByName(right_incomplete, allowMissingColumns=True) if how == "full" else out
+
+
+def _lone(sides: DataFrame, side: int) -> DataFrame:
+    """Keys that only one side has. Both questions read one and the same aggregate."""
+    seen = sides.groupBy(_KEY).agg(F.bit_or(_SIDES).alias(_SIDES))
+    return seen.filter(F.col(_SIDES) == side).select(_KEY)
+
+
+def _partnered(left: DataFrame, right: DataFrame, both: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a row of nulls for each key that only the other one has."""
+    sides = left.select(_KEY, F.lit(_LEFT).alias(_SIDES)).unionByName(
+        right.select(_KEY, F.lit(_RIGHT).alias(_SIDES))
+    )
+    more = right.unionByName(_lone(sides, _LEFT), allowMissingColumns=True)
+    if both:
+        left = left.unionByName(_lone(sides, _RIGHT), allowMissingColumns=True)
+    return left, more
 
 
 def natural_full_join(left: DataFrame, right: DataFrame, copies: str = "copies") -> DataFrame:
     """Full outer join on every column the two frames share; nulls equal nulls.
 
-    Equal rows are counted per side first and joined once: each distinct joined row comes out
-    once, and ``copies`` says how often a join would repeat it (m*n for m equal left and n equal
+    Equal rows are counted per side first, each input being read once. Where a side has columns of
+    its own, shared rows that the other side lacks are told from those counts and get an empty
+    partner there, so one inner join, which can be split when a row is hot, does the rest: each
+    distinct joined row comes out once, and ``copies`` says how often a join would repeat it (m*n for m equal left and n equal
     right rows, or the plain count where one side lacks it).
     """
     common = _shared(left, right)
-    a = left.groupBy(*left.columns).agg(F.count("*").alias("_m"))
-    b = right.groupBy(*right.columns).agg(F.count("*").alias("_n"))
+    extras = [c for c in (*left.columns, *right.columns) if c not in common]
+    if not extras:
+        both = side_counts(left, right, common)
+        return both.select(*common, (F.greatest("_m", F.lit(1)) * F.greatest("_n", F.lit(1))).alias(copies))
+    a = left.groupBy(*left.columns).agg(F.count("*").alias("_m")).withColumn(_KEY, F.struct(*common))
+    b = right.groupBy(*right.columns).agg(F.count("*").alias("_n")).withColumn(_KEY, F.struct(*common))
+    # The counts take part, so that this reads the shuffle of the aggregates and not the inputs again.
+    flag = lambda count, side: F.when(F.col(count) > 0, side).otherwise(0).alias(_SIDES)
+    sides = a.select(_KEY, flag("_m", _LEFT)).unionByName(b.select(_KEY, flag("_n", _RIGHT)))
+    left_lone, right_lone = _lone(sides, _LEFT), _lone(sides, _RIGHT)
+    a = a.drop(*common).unionByName(right_lone, allowMissingColumns=True)
+    b = b.drop(*common).unionByName(left_lone, allowMissingColumns=True)
     one = F.lit(1)
-    return (
-        link_records(a, b, common, "full", null_safe=True)
-        .withColumn(copies, F.coalesce("_m", one) * F.coalesce("_n", one))
-        .drop("_m", "_n")
+    return a.join(b, _KEY).select(
+        *[F.col(f"{_KEY}.`{c}`").alias(c) if c in common else F.col(f"`{c}`") for c in left.columns],
+        *[F.col(f"`{c}`") for c in right.columns if c not in common],
+        (F.coalesce("_m", one) * F.coalesce("_n", one)).alias(copies),
     )
 
 

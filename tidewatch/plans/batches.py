@@ -117,11 +117,35 @@ def school_tables(
     return out
 
 
-# Order of the published tables; those not listed are published as they come.
+# Every published table is clustered by its entity and then its date, or by what identifies its rows,
+# so that a drill-down skips files and row groups and two versions can be compared line by line.
+_CASE = ("patient_record_number", "covid_case_date")
 PUBLISHED_ORDER = {
+    "deaths_weekly": ("region", "week_of"),
+    "deaths_monthly": ("month",),
+    "hospital_weekly": ("region", "week_of"),
     "cases_daily": ("region", "date"),
+    "cases_weekly": ("region", "week_of"),
+    "city_daily": ("city", "date"),
+    "positivity_person": ("region", "date"),
+    "positivity_test": ("region", "date"),
+    "coverage": ("region", "dose", "band", "date"),
+    "scorecard": ("position",),
+    "dose_scorecard": ("position",),
+    "hospital_delta": ("patient_record_number", "hosp_admit_date"),
+    "cohort": ("exposure_place_school_district", "place_name", *_CASE),
     "school_panel": ("school", "date"),
-    "district_panel": ("district", "date"),
+    "district_panel": ("school", "date"),
+    "latest_summary": ("district", "is_total", "school"),
+    "drilldown": ("school", "date"),
+    "line_list": ("recipient", "school", "last_name", "first_name", "dob"),
+    "minors": ("area", "patient_record_number"),
+    "missing_school": _CASE,
+    "adults_to_reroute": _CASE,
+    "cohort_delta": _CASE,
+    "new_cases": _CASE,
+    "notices": ("recipient",),
+    "minors_delta": ("area", "patient_record_number"),
 }
 
 

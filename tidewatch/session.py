@@ -36,15 +36,18 @@ def build_session(
 def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where the session names none, as in tests, ``fallback`` or a folder in the warehouse is used:
-    never a machine-local temporary folder.
+    Where the session names none, ``fallback`` is used, or in local mode, as in tests, a folder in the
+    warehouse: never a machine-local temporary folder. On a cluster one of them has to be named.
     """
     folder = (
         spark.conf.get("spark.checkpoint.dir", None)
         or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         or fallback
-        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     )
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors see in spark.checkpoint.dir")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     return folder.rstrip("/")
 
 

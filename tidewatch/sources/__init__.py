@@ -1,5 +1,6 @@
 """Reading extracts, snapshots, reference tables and date spines; writing results."""
 
+from .commits import prune
 from .dimensions import dimension, dimension_names
 from .extracts import (
     latest_snapshot_date,
@@ -9,7 +10,14 @@ from .extracts import (
     snapshot_dates,
     with_input_order,
 )
-from .sinks import commit_snapshot, publish, write_by_recipient, write_extract
+from .sinks import (
+    commit_snapshot,
+    publish,
+    read_published,
+    refresh_copies,
+    write_by_recipient,
+    write_extract,
+)
 from .spine import date_spine, dense_grid, spine_between
 
 __all__ = [
@@ -20,9 +28,12 @@ __all__ = [
     "dimension_names",
     "latest_snapshot_date",
     "normalize_columns",
+    "prune",
     "publish",
     "read_extract",
+    "read_published",
     "read_snapshot",
+    "refresh_copies",
     "snapshot_dates",
     "spine_between",
     "with_input_order",

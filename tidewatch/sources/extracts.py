@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import as_date
 from ..session import folders
+from . import commits
 
 INPUT_ORDER = "input_order"
 
@@ -88,10 +89,17 @@ def _typed(field: T.StructField) -> Column:
 _SNAPSHOT = re.compile(r"snapshot_date=(\d{4}-\d{2}-\d{2})")
 
 
+def _snapshots(spark: SparkSession, path: str) -> dict[dt.date, str]:
+    """Folder of each day's snapshot: as committed, or by its own name where it came from elsewhere."""
+    named = (_SNAPSHOT.fullmatch(name) for name in folders(spark, path))
+    found = {dt.date.fromisoformat(m[1]): m[0] for m in named if m}
+    committed = commits.current(spark, path).get("folders", {})
+    return {**found, **{dt.date.fromisoformat(day): folder for day, folder in committed.items()}}
+
+
 def snapshot_dates(spark: SparkSession, path: str) -> list[dt.date]:
-    """Days that have a snapshot, by the folders there are; no rows are read."""
-    found = (_SNAPSHOT.fullmatch(name) for name in folders(spark, path))
-    return sorted(dt.date.fromisoformat(m[1]) for m in found if m)
+    """Days that have a snapshot; no rows are read."""
+    return sorted(_snapshots(spark, path))
 
 
 def latest_snapshot_date(spark: SparkSession, path: str, before: dt.date | str) -> dt.date | None:
@@ -110,13 +118,13 @@ def read_snapshot(
     Where there is none yet, as on a first run, the result is an empty frame of ``schema``, or of
     the columns a later snapshot has.
     """
-    newest = latest_snapshot_date(spark, path, before)
+    there = _snapshots(spark, path)
+    newest = max((d for d in there if d < as_date(before)), default=None)
     if newest is not None:
         reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(f"{path}/snapshot_date={newest.isoformat()}")
+        return reader.parquet(f"{path}/{there[newest]}")
     if schema is None:
-        later = snapshot_dates(spark, path)
-        if not later:
+        if not there:
             raise ValueError(f"no snapshot under {path}; pass the schema of the first run")
-        schema = spark.read.parquet(f"{path}/snapshot_date={later[0].isoformat()}").schema
+        schema = spark.read.parquet(f"{path}/{there[min(there)]}").schema
     return spark.createDataFrame([], schema)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from ..functions import as_date
 from ..session import file_system, folders, remove
+from . import commits
 
 
 def _csv(df: DataFrame) -> DataFrameWriter:
@@ -51,7 +52,7 @@ def write_by_recipient(
 
 
 def _swap(spark: SparkSession, new: str, place: str) -> None:
-    """Put a written folder in the place of another."""
+    """Put a written folder in the place of another; only for copies that can be made again."""
     remove(spark, place)
     fs, source = file_system(spark, new)
     _, target = file_system(spark, place)
@@ -67,41 +68,82 @@ def publish(
     lang: str = "en",
     order: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, str]:
-    """Write each table as a dated copy, then refresh the ``latest`` copies together.
+    """Write a bundle of tables as a new version and make it hold with one commit.
 
-    The latest copies are read back from the dated ones, which spares computing a table twice, and
-    are swapped in only when all of them are written: a failure on the way leaves the old bundle.
-    Tables named in ``order`` are sorted by those columns. The language is part of the path, so
-    two languages never overwrite each other; the tables are published as they are (see
-    ``operators.relabel`` for labels).
+    Tables are written once, to folders that no other version has, and the pointer that names them
+    is the only thing added to what readers look at (see ``read_published``): a failure on the way
+    leaves the old bundle whole. Tables the bundle does not have stay as the version before had them.
+    Tables named in ``order`` are range-partitioned by those columns and sorted, so a reader who
+    filters on them skips files and row groups. The language is part of the path, so two languages
+    never overwrite each other; the tables are published as they are (see ``operators.relabel``).
+
+    The plain copies under ``as_of=<day>`` and ``latest`` follow the commit. They are for readers who
+    know paths only; ``refresh_copies`` makes them again after a failure.
     """
     written, order = {}, order or {}
-    for name, df in tables.items():
-        dated = f"{base}/{lang}/as_of={as_date(as_of).isoformat()}/{name}"
-        rows = df.orderBy(*order[name]) if name in order else df
-        rows.write.mode("overwrite").parquet(dated)
-        written[name] = dated
-    if not written:
+    if not tables:
         return written
     spark = next(iter(tables.values())).sparkSession
-    latest = f"{base}/{lang}/latest"
-    passing = f"{base}/{lang}/_latest-{uuid.uuid4().hex}"
-    kept = [n for n in folders(spark, latest) if n not in written]
-    for name in (*written, *kept):
-        source = written.get(name) or f"{latest}/{name}"
-        rows = spark.read.parquet(source)
-        rows = rows.orderBy(*order[name]) if name in order else rows
-        rows.write.parquet(f"{passing}/{name}")
-    _swap(spark, passing, latest)
+    home, day = f"{base}/{lang}", as_date(as_of).isoformat()
+    version = f"data/{day}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        rows = df.orderBy(*order[name]) if name in order else df
+        rows.write.parquet(f"{home}/{version}/{name}")
+        written[name] = f"{home}/{version}/{name}"
+    before = commits.current(spark, home)
+    commits.commit(spark, home, {
+        "as_of": {**before.get("as_of", {}), **dict.fromkeys(tables, day)},
+        "folders": {**before.get("folders", {}), **{name: f"{version}/{name}" for name in tables}},
+        "order": {**before.get("order", {}), **{name: list(order.get(name, ())) for name in tables}},
+        "changed": sorted(tables),
+    })
+    refresh_copies(spark, base, lang)
     return written
 
 
+def refresh_copies(spark: SparkSession, base: str, lang: str = "en") -> None:
+    """Make the plain copies of what holds: the day's tables, and ``latest`` with all of them.
+
+    Each copy is written aside and then put in place. Tables under ``latest`` that were published
+    before there were versions stay.
+    """
+    home = f"{base}/{lang}"
+    state = commits.current(spark, home)
+    passing = f"{home}/_latest-{uuid.uuid4().hex}"
+
+    def copy(source: str, place: str, by: Sequence[str]) -> None:
+        rows = spark.read.parquet(source)
+        (rows.orderBy(*by) if by else rows).write.parquet(place)
+
+    for name in state["changed"]:
+        aside = f"{home}/_dated-{uuid.uuid4().hex}"
+        copy(f"{home}/{state['folders'][name]}", aside, state["order"][name])
+        _swap(spark, aside, f"{home}/as_of={state['as_of'][name]}/{name}")
+    for name in folders(spark, f"{home}/latest"):
+        if name not in state["folders"]:
+            copy(f"{home}/latest/{name}", f"{passing}/{name}", ())
+    for name, folder in state["folders"].items():
+        copy(f"{home}/{folder}", f"{passing}/{name}", state["order"][name])
+    _swap(spark, passing, f"{home}/latest")
+
+
+def read_published(spark: SparkSession, base: str, name: str, lang: str = "en") -> DataFrame:
+    """A table of the bundle that holds, as its pointer names it."""
+    found = commits.current(spark, f"{base}/{lang}").get("folders", {})
+    if name not in found:
+        raise ValueError(f"no table {name!r} is published under {base}/{lang}")
+    return spark.read.parquet(f"{base}/{lang}/{found[name]}")
+
+
 def commit_snapshot(df: DataFrame, path: str, as_of: dt.date | str) -> None:
     """Store ``df`` as the snapshot of ``as_of``; other snapshots stay as they are.
 
-    Call it last. The rows are written aside and then take the place of what the day had, so a
-    failed job leaves the previous snapshot, and a snapshot without rows is one.
+    Call it last. The rows are written to a folder of their own, and the snapshot is theirs when the
+    pointer that names it is there: until then the day keeps what it had. A snapshot without rows
+    is one.
     """
-    passing = f"{path}/_passing-{uuid.uuid4().hex}"
-    df.write.parquet(passing)
-    _swap(df.sparkSession, passing, f"{path}/snapshot_date={as_date(as_of).isoformat()}")
+    spark, day = df.sparkSession, as_date(as_of).isoformat()
+    folder = f"data/{day}-{uuid.uuid4().hex}/rows"
+    df.write.parquet(f"{path}/{folder}")
+    before = commits.current(spark, path).get("folders", {})
+    commits.commit(spark, path, {"folders": {**before, day: folder}})

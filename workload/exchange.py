@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import distinct_on, fill_blank, map_codes, new_records, parse_dates
@@ -15,6 +15,7 @@ from tidewatch.sources import (
     dimension,
     publish,
     read_extract,
+    read_published,
     read_snapshot,
     with_input_order,
     write_by_recipient,
@@ -108,6 +109,41 @@ def publish_roundtrip(spark, sf_dir):
     return spark.read.parquet(f"{base}/en/latest/status")
 
 
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+def publish_interrupted(spark, sf_dir):
+    """A second bundle fails at its last table: readers keep the whole first one."""
+    base = scratch(spark)
+    orders = table(spark, sf_dir, "orders")
+    counts = lambda df: df.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    publish({"status": counts(orders.filter("o_orderkey % 2 = 0")), "keys": orders.select("o_orderkey")}, base, AS_OF)
+    broken = orders.select(F.when(F.col("o_orderkey").isNotNull(), F.raise_error(F.lit("interrupted"))))
+    try:
+        publish({"status": counts(orders), "keys": broken}, base, AS_OF)
+    except Exception as error:  # the table that cannot be computed
+        if "interrupted" not in str(error):
+            raise
+    return read_published(spark, base, "status")
+
+
+@query(
+    """SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place
+    FROM orders"""
+)
+def publish_sorted(spark, sf_dir):
+    """The place of every row in a published table, counted over its files as they lie there."""
+    base = scratch(spark)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    publish({"orders": orders}, base, AS_OF, order={"orders": ["o_custkey", "o_orderkey"]})
+    rows = read_published(spark, base, "orders").select(
+        "o_custkey", "o_orderkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i")
+    )
+    # Files are a number each and rows count on from file to file: one row per file is gathered.
+    files = rows.groupBy("file").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return rows.join(starts, "file").select("o_custkey", "o_orderkey", (F.col("start") + F.col("i") + 1).alias("place"))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 0")
 def snapshot_empty(spark, sf_dir):
     """The newest snapshot has no rows, and hides the rows of the one before."""
