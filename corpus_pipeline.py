@@ -2,6 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps, with their columns;
 the last returns where the ids of each document are. Stages hand over written tables.
+
+Defined results: columns that no stage asks for pass through all but the last unchanged, whatever
+their names. A null text is empty: the quality rules reject it, as they do any text under 50 words. A
+document without an id is never linked or dropped as a copy. Of rows equal in id and text, as of
+other copies, one stays, told by the row's content where its columns differ. Rows that repeat an id
+with other texts are documents of their own. Empty tables, of labels or benchmark items too, pass
+through: without labels only the fixed rules reject, without items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm.decontaminate import drop_contaminated
-from tidewatch.llm.mixing import mix
+from tidewatch.llm.mixing import mixed_rows
 from tidewatch.llm.ngram_join import keep_one
 from tidewatch.llm.quality import keep_good
 from tidewatch.llm.queries import vocabulary
@@ -37,7 +44,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture has them: all at least once, small sources again."""
-    return mix(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
+    return mixed_rows(docs, max_repeats=MAX_REPEATS)
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import graph
 from tidewatch.llm import ngram_join as J
@@ -144,3 +145,15 @@ def test_near_copies_under_one_id(spark):
     rows = [(7, " ".join(words)), (7, " ".join(near)), (8, " ".join(other)), (8, "apart from the others it is")]
     kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
     assert sorted(r.doc_id for r in kept) == [7, 8, 8]
+
+
+def test_rows_equal_in_id_and_text_have_one_result(spark):
+    """Whatever order they come in, the same one stays."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, {"k": i % 3}, f"x{i}") for i in range(12)] + [(2, text, None, "y"), (3, "apart from it", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,long>, extra string")
+    kept = [
+        sorted(str(r) for r in J.keep_one(df.orderBy(F.xxhash64("extra", F.lit(seed))).repartition(1 + seed)).collect())
+        for seed in range(4)
+    ]
+    assert kept[0] == kept[1] == kept[2] == kept[3] and len(kept[0]) == 2

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as entry_point
 from tidewatch.llm.spark_io import read, staged
@@ -35,8 +37,26 @@ def test_stages_hand_documents_on(spark):
 
 def test_registered_once_with_the_entry():
     names = [n for n in entry_point.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_point.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "token_id_output",
     ]
+
+
+def test_clashing_columns_pass_unchanged(spark):
+    """Columns by the names that stages use themselves come out of every stage as they went in."""
+    names = ["tokens", "quota", "src", "left", "run", "block", "epoch", "doc_key", "n_blocks", "of", "row", "h",
+             "label", "node", "good", "kept", "part", "block_order", "n_tokens", "item_id", "size"]
+    docs = read(spark, SF, "documents")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    docs = docs.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, SF), name)
+        rows = docs.collect()
+        assert rows and len(rows) <= 1.3 * before
+        for r in rows:
+            assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names] and r.m == {"a": r.doc_id}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)

@@ -15,8 +15,8 @@ number of epochs of the source repeated most.
 
 Defined results: a null text has no tokens; documents without tokens go with their block; a null
 source is a source; a source without tokens keeps its documents once; rows that repeat an id are
-documents of their own; an empty table stays empty; other columns are kept, but for the names in
-``MIXED``.
+documents of their own; an empty table stays empty; other columns are kept whatever their names, in
+``mix`` but for those in ``MIXED``.
 """
 
 from __future__ import annotations
@@ -82,15 +82,32 @@ def mix(
 
     Sorting by ``epoch``, ``block_order`` and ``doc_order`` gives the order of the mixture.
     """
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in MIXED]
+    return _mixed(docs, entropy, max_repeats, budget, seed).select(*own, *MIXED)
+
+
+def mixed_rows(
+    docs: DataFrame, *, entropy: float | None = None, max_repeats: float | None = None,
+    budget: int | None = None, seed: int = 0,
+) -> DataFrame:
+    """As ``mix``, with the columns of ``docs`` as they are, whatever their names, and no others."""
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return _mixed(docs, entropy, max_repeats, budget, seed).select(*own)
+
+
+def _mixed(
+    docs: DataFrame, entropy: float | None, max_repeats: float | None, budget: int | None, seed: int
+) -> DataFrame:
+    """``row``, a document as it came, and ``MIXED``."""
     if (entropy is None) == (max_repeats is None):
         raise ValueError("give an entropy or a repetition limit")
-    names = [c for c in docs.columns if c not in MIXED]
     keyed = docs.select(
-        *names, n_tokens().alias("n_tokens"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("of"),
+        n_tokens().alias("n_tokens"),
         F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)),
                           F.md5(F.coalesce("text", F.lit(""))))).alias("doc_key"),
     )
-    source = F.col("source").cast("string")
+    source = F.col("of")
     totals = staged(
         keyed.select(source.alias("src"), "n_tokens").groupBy("src").agg(F.sum("n_tokens").alias("tokens")),
         "sources",
@@ -138,7 +155,7 @@ def mix(
     border = taken.filter("not all_of_it").withColumn(
         "run", F.expr("sum(n_tokens) over (partition by src, epoch, block order by doc_order rows unbounded preceding)")
     )
-    columns = [*names, *MIXED]
+    columns = ["row", *MIXED]
     return taken.filter("all_of_it").select(*columns).unionByName(
         border.filter("run <= left").select(*columns)
     )

@@ -378,7 +378,7 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, that with the smallest id; columns as they are.
 
-    Of rows equal in id and text one stays. Documents that link with nothing stay, each of them.
+    Of rows equal in id and text the one whose JSON comes first stays. Documents that link with nothing stay, each of them.
     """
     rows, _ = _labelled(docs, n, percent)
     first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("one")).select(
@@ -390,6 +390,6 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                         (F.col("doc_id").isNotNull() & text.rlike(_WORD)).alias("linkable"))
     kept = (
         whole.filter("linkable").withColumn("id1", F.col("doc_id").cast("long"))
-        .join(first, ["id1", "h1"]).groupBy("id1", "h1").agg(F.first("row").alias("row"))
+        .join(first, ["id1", "h1"]).groupBy("id1", "h1").agg(F.min_by("row", F.to_json("row")).alias("row"))
     )
     return kept.select("row").unionByName(whole.filter("not linkable").select("row")).select("row.*")

@@ -2,8 +2,8 @@
 
 The trees are fitted on a bounded sample of labelled documents (``SAMPLE`` rows, those whose ids
 hash lowest); everything else sees all rows and whole texts. A document is good if its label says
-quality 1 and not toxic. Words that mark the bad ones are learned from one half of the sample, the
-trees from the other half, and scoring is one pass over the documents without a shuffle.
+quality 1 and not toxic. For the trees, the words that mark bad ones in each half of the sample are those
+learned from the other half; the trees see all of it. Scoring is one pass over the documents without a shuffle.
 
 Defined results: a null or empty text has no words and fails the base rule; a null id stays a row
 with a null id; repeated rows are judged each; without usable labels only the base rule decides.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +170,22 @@ def _marks(docs: DataFrame) -> DataFrame:
     )
 
 
+def _marked(rows: DataFrame) -> Model | None:
+    """Marks of bad documents, learned from the rows; nothing where all are good or none is."""
+    n_good, n = rows.agg(F.sum("good"), F.count("*")).first()
+    if not n or n_good in (0, n):
+        return None
+    odds = F.log((F.col("bad") + 0.5) / (n - n_good + 1) / ((F.col("good") + 0.5) / (n_good + 1)))
+    found = (
+        _marks(rows).filter("bad >= 3").withColumn("odds", odds)
+        .filter("odds > 2").orderBy(F.desc("odds"), F.desc("bad"), "key").limit(MARKS)
+        .select("key", "odds").toPandas()
+    )
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Model(keys[order], found["odds"].to_numpy(float)[order], None)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows: the distinct labels whose ids hash lowest.
 
@@ -191,23 +208,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         "labelled",
     )
     try:
-        n_good, n = rows.filter("first").agg(F.sum("good"), F.count("*")).first()
-        if not n or n_good in (0, n):
+        model = _marked(rows)
+        if model is None:
             return EMPTY
-        odds = F.log(
-            (F.col("bad") + 0.5) / (n - n_good + 1) / ((F.col("good") + 0.5) / (n_good + 1))
-        )
-        found = (
-            _marks(rows.filter("first")).filter("bad >= 3").withColumn("odds", odds)
-            .filter("odds > 2").orderBy(F.desc("odds"), F.desc("bad"), "key").limit(MARKS)
-            .select("key", "odds").toPandas()
-        )
-        keys = found["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        model = Model(keys[order], found["odds"].to_numpy(float)[order], None)
-        x = _features(rows.filter("not first"), model).toPandas()
+        parts = []
+        for fold in ("first", "not first"):
+            learned = _marked(rows.filter(fold))
+            other = rows.filter(f"not ({fold})")
+            parts.append(_features(other, learned or model).toPandas())
     finally:
         drop(rows)
+    x = pd.concat(parts)
     y = x.pop("good").to_numpy(float)
     if not len(y) or y.min() == y.max():
         return EMPTY

@@ -313,7 +313,7 @@ def _removed(docs: DataFrame, threshold: int, gram: int, digest: bool) -> DataFr
     docs = text_rows(docs, F.col("doc_id").cast("long")).withColumn("id", F.xxhash64("doc_id", "text"))
     spans = (
         repeated_spans(docs, threshold, gram).groupBy("id")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+        .agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     )
     last = "kept_sha256 string" if digest else "spans array<struct<start:long,end:long>>, kept binary"
 
