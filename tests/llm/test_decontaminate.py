@@ -8,8 +8,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tidewatch.llm import decontaminate as D
+from tidewatch.llm.scan import utf8
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,18 +69,12 @@ def test_recall_of_near_items_and_no_false_ones(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in D.matches(df, bench).collect()}
     exact = {(rows[k][0], i): s for (k, i), s in want.items()}
-    assert set(got) <= set(exact)
-    assert len(got) >= 0.95 * len(exact)
-    assert {k for k, s in exact.items() if s > 0.95} <= set(got)
-    for k, s in got.items():
-        assert s <= exact[k] + 1e-9
+    assert set(got) == set(exact)
+    assert all(abs(s - exact[k]) < 1e-9 for k, s in got.items())
     clean = D.drop_contaminated(df, bench)
     hit = {k for k, _ in want}
     kept = Counter((r.doc_id, r.text) for r in clean.collect())
-    lost = Counter(rows) - kept
-    assert not kept - Counter(rows)
-    assert {rows[k] for k in hit if want[next(x for x in want if x[0] == k)] > 0.95} <= set(lost)
-    assert set(lost) <= {rows[k] for k in hit}
+    assert kept == Counter(x for k, x in enumerate(rows) if k not in hit)
 
 
 def test_blocks_of_the_benchmark_give_the_same(spark):
@@ -88,22 +84,40 @@ def test_blocks_of_the_benchmark_give_the_same(spark):
     ids = lambda x: {(r.doc_id, r.item_id) for r in x.collect()}
     sizes = [len(b.ids) for b in D.blocks(bench, 2000)]
     assert len(sizes) > 2 and sum(sizes) == 33
-    # Weights depend on the block, so matches near the threshold may differ, exact ones do not.
-    exact = {(k, i) for (k, i), s in brute(rows, items).items() if s > 0.97}
-    assert exact <= ids(D.matches(df, bench, 2000))
+    assert ids(D.matches(df, bench, 2000)) == {(rows[k][0], i) for k, i in brute(rows, items)}
 
 
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 30)) for _ in range(60)]
-    b = D.Benchmark(list(range(60)), texts)
-    prints = np.concatenate([b.prints ^ np.uint64((1 << int(k)) - 1) for k in (0, 3, 15, 16)])
-    got = set(zip(*(x.tolist() for x in b.near(prints)), strict=True))
-    want = {
-        (w, i) for w, p in enumerate(prints) for i, q in enumerate(b.prints)
-        if int(p ^ q).bit_count() <= D.RADIUS
-    }
-    assert got == want
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in [30] * 60 + [20] * 9]
+    b = D.Benchmark(list(range(69)), texts)
+    flips = (0, 3, D.RADIUS, D.RADIUS + 1)
+    prints = np.concatenate([b.prints ^ np.uint64((1 << int(k)) - 1) for k in flips])
+    assert b.lengths.tolist() == [[5, 16], [5, 26]]
+    for kind, of in ((1, range(60)), (0, range(60, 69))):
+        got = set(zip(*(x.tolist() for x in b.near(prints, np.full(len(prints), kind))), strict=True))
+        want = {
+            (w, i) for w, p in enumerate(prints) for i in of if int(p ^ b.prints[i]).bit_count() <= D.RADIUS
+        }
+        assert got == want
+
+
+def recall(rows, items) -> dict[str, float]:
+    """Share of the matches by brute force that each source of candidates finds by itself."""
+    want = set(brute(rows, items))
+    named = [(i, t) for i, t in items if t and WORD.search(t)]
+    b = D.Benchmark([i for i, _ in named], [t for _, t in named])
+    data = utf8(pa.array([t or "" for _, t in rows], pa.string()))
+    got = {s: {(m.doc, b.ids[m.item]) for m in b.search(*data, (s,))} for s in D.SOURCES}
+    assert all(g <= want for g in got.values())
+    return {s: len(g) / len(want) for s, g in got.items()}
+
+
+def test_recall_of_each_source():
+    for items, rows in (planted(), edited()):
+        found = recall(rows, items)
+        assert found["bound"] == 1.0
+        assert found["prints"] >= 0.9
 
 
 def test_hard_documents_and_nothing(spark, docs, nothing):

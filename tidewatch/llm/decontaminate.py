@@ -4,16 +4,25 @@ A window of a document has as many words as an item. Window and item match by th
 Jaccard similarity of their shingle sets. A shingle weighs ``1 + ln(items / items that have it)``;
 one that no item has weighs as much as one that a single item has.
 
-Windows are taken at every word. No pair at the threshold is passed over: a match shares at least
-``SIMILARITY`` of the item's weight, so it holds one of the item's heaviest shingles that make up more
-than the rest of the weight. These are indexed; the texts that hold one are looked at for the item,
-and the windows whose shared weight can reach the threshold are decided exactly. (Fingerprints within
-``RADIUS`` bits, ``Benchmark.near``, lose matches near the threshold and do not decide.) The benchmark
-is taken in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents each, so what is
-sent to the executors is bounded however long the benchmark is. Weights are those of the whole
-benchmark: with several blocks, shingles are counted over all items first, and the windows of a block
-whose other shingles may weigh little are decided after a join with these counts, so that blocks
-change no result. Documents are shuffled only to drop some of them by several blocks.
+Windows are taken at every word, for every length that items have. One whose shingles in the benchmark
+weigh too little for any item of its length is out at once. The others get a SimHash fingerprint of
+their weighted shingles, and a multi-index over ``RADIUS + 1`` blocks of the bits gives every item
+of the window's length whose fingerprint is within ``RADIUS`` bits: of so many blocks at least one
+is equal. All of these pairs are decided by exact similarity.
+
+A fingerprint is an estimate, so some matches near the threshold are further apart than that. A bound
+without loss proposes the rest: a match shares at least ``SIMILARITY`` of the item's weight, so it
+holds one of the item's heaviest shingles that make up more than the rest of the weight. These are
+indexed; in a text that holds one, the windows whose shared weight can reach the threshold join the
+candidates, and are decided alike. (``Benchmark.candidates`` takes the sources one by one, to measure
+what each finds.)
+
+The benchmark is taken in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents each,
+so what is sent to the executors is bounded however long the benchmark is. Weights are those of the
+whole benchmark: with several blocks, shingles are counted over all items first, and the windows of a
+block whose other shingles may weigh little are decided after a join with these counts, so that blocks
+change no result. (Only the fingerprints of such windows take unknown shingles as rare ones.)
+Documents are shuffled only to drop some of them by several blocks.
 
 Defined results: lower-casing covers A-Z; an item with fewer words than a shingle is one shingle;
 a null or empty item matches nothing; a null or empty text holds nothing; a window that meets the
@@ -34,20 +43,31 @@ from pyspark.sql import functions as F
 from .scan import LOWER, groups, mix, segment_keys, utf8, windows, words
 from .spark_io import split_join, staged, text_rows
 
-SHINGLE, SIMILARITY, RADIUS, ITEM_BYTES = 5, 0.8, 15, 8 << 20
+SHINGLE, SIMILARITY, RADIUS, ITEM_BYTES = 5, 0.8, 24, 8 << 20
+#: Where candidates come from: fingerprints, and the bound without loss.
+SOURCES = ("prints", "bound")
 #: What rounding may take from a bound.
 _SLACK = 1e-9
 _U = np.uint64
 _BITS = np.arange(64, dtype=_U)
+#: Shingles of windows that are looked at together.
+_AT_ONCE = 1 << 14
 _CUTS = np.linspace(0, 64, RADIUS + 2).astype(int)
 
 
 def simhash(grams: np.ndarray, weights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of the runs ``[start, end)`` of weighted shingles."""
-    signs = ((mix(grams)[:, None] >> _BITS) & _U(1)).astype(np.float32) * 2 - 1
+    """Fingerprints of the runs ``[start, end)`` of weighted shingles, each taken once in a run."""
+    signs = (((mix(grams)[:, None] >> _BITS) & _U(1)).astype(np.float32) * 2 - 1) * weights[:, None]
     run = np.zeros((len(grams) + 1, 64))
-    np.cumsum(signs * weights[:, None], axis=0, out=run[1:])
-    return ((run[end] - run[start] > 0).astype(_U) << _BITS).sum(1, dtype=_U)
+    np.cumsum(signs, axis=0, out=run[1:])
+    total = run[end] - run[start]
+    before = _before(grams)
+    again = np.flatnonzero(before >= 0)
+    if len(again):
+        # What a run holds for a second time is taken off.
+        inside = (before[again] >= start[:, None]) & (again < end[:, None])
+        total -= inside.astype(np.float32) @ signs[again].astype(np.float32)
+    return np.packbits(total > 0, axis=1, bitorder="little").view(_U).ravel()
 
 
 class Match(NamedTuple):
@@ -117,18 +137,41 @@ class Benchmark:
             [simhash(g, self.weigh(g)[0], np.array([0]), np.array([len(g)]))[0] for g in self.grams], _U
         )
 
+    @functools.cached_property
+    def lengths(self) -> np.ndarray:
+        """Words in a shingle and shingles in a window, of every kind of item."""
+        return np.unique(self._kinds, axis=0)
+
+    @property
+    def _kinds(self) -> np.ndarray:
+        kinds = [(min(SHINGLE, n), len(g)) for n, g in zip(self.words, self.grams, strict=True)]
+        return np.array(kinds, np.int64).reshape(-1, 2)
+
+    @functools.cached_property
+    def kind(self) -> np.ndarray:
+        """Of each item, which of ``lengths`` it has."""
+        return np.unique(self._kinds, axis=0, return_inverse=True)[1].reshape(-1)
+
+    @functools.cached_property
+    def least(self) -> np.ndarray:
+        """The least weight that an item of each kind must share."""
+        out = np.full(len(self.lengths), np.inf)
+        np.minimum.at(out, self.kind, (SIMILARITY - _SLACK) * np.array(self.total))
+        return out
+
     @functools.cached_property
     def blocks(self) -> list[tuple]:
+        """Items sorted by kind and bits, for each block of the bits."""
         out = []
         for a, b in zip(_CUTS[:-1], _CUTS[1:], strict=True):
-            value = self.block(self.prints, a, b)
+            value = self.block(self.prints, self.kind, a, b)
             order = np.argsort(value, kind="stable")
             out.append((a, b, value[order], order))
         return out
 
     @staticmethod
-    def block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
-        return ((prints >> _U(a)) & _U((1 << int(b - a)) - 1)).astype(np.int64)
+    def block(prints: np.ndarray, kind: np.ndarray, a: int, b: int) -> np.ndarray:
+        return ((prints >> _U(a)) & _U((1 << int(b - a)) - 1)).astype(np.int64) | kind << int(b - a)
 
     def weigh(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight of each shingle, and its number in the benchmark or -1."""
@@ -140,25 +183,24 @@ class Benchmark:
             weight[maybe[hit]], number[maybe[hit]] = self.weight[spot[hit]], spot[hit]
         return weight, number
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of window and item whose fingerprints differ in at most ``RADIUS`` bits."""
-        found_w, found_i = [], []
+    def near(self, prints: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of window and item of a kind whose fingerprints differ in at most ``RADIUS`` bits."""
+        pairs = []
         for a, b, value, order in self.blocks:
-            own = self.block(prints, a, b)
+            own = self.block(prints, kind, a, b)
             lo, hi = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
             n = hi - lo
             w = np.repeat(np.arange(len(prints)), n)
             i = order[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
             close = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-            found_w.append(w[close])
-            found_i.append(i[close])
-        pairs = np.unique(np.concatenate(found_w) * len(self.ids) + np.concatenate(found_i))
+            pairs.append(w[close] * len(self.ids) + i[close])
+        pairs = np.unique(np.concatenate(pairs))
         return pairs // len(self.ids), pairs % len(self.ids)
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[Match]:
+    def search(self, data: np.ndarray, offsets: np.ndarray, sources: tuple = SOURCES) -> list[Match]:
         """The best window of each item in each of consecutive texts, if similar enough."""
         best: dict[tuple[int, int], Match] = {}
-        for c in self.candidates(data, offsets):
+        for c in self.candidates(data, offsets, sources):
             own = c.own + c.foreign.sum(1) * self.rare
             sim = np.round(c.both / (own + self.total[c.item] - c.both), 12)
             k = int(np.argmax(sim))
@@ -171,8 +213,8 @@ class Benchmark:
                 best[c.doc, c.item] = Match(c.doc, c.item, float(sim[k]), int(c.start[k]), n)
         return [best[k] for k in sorted(best)]
 
-    def candidates(self, data: np.ndarray, offsets: np.ndarray):
-        """Windows that share enough of an item to reach the threshold, whatever else they hold."""
+    def candidates(self, data: np.ndarray, offsets: np.ndarray, sources: tuple = SOURCES):
+        """Windows near an item by fingerprint, and those that share enough of one to reach the threshold."""
         w = words(data, offsets)
         keys = segment_keys(data, w.start, w.end, LOWER)
         for size in sorted({min(SHINGLE, n) for n in self.words}):
@@ -184,37 +226,19 @@ class Benchmark:
             doc = w.doc[at]
             for d in np.unique(doc[hits]).tolist():
                 lo, hi = np.searchsorted(doc, [d, d + 1])
-                yield from self._in_text(d, size, grams[lo:hi], weight[lo:hi], number[lo:hi])
-
-    def _in_text(self, doc, size, grams, weight, number):
-        hits = np.flatnonzero(number >= 0)
-        held = number[hits]
-        met = np.unique(held)
-        met = met[self.owned[met + 1] > self.owned[met]]
-        if not len(met):
-            return
-        items = np.unique(np.concatenate([self.owner[self.owned[g] : self.owned[g + 1]] for g in met]))
-        before = None
-        for item in items.tolist():
-            n, own = self.words[item], self.numbers[item]
-            if min(SHINGLE, n) != size:
-                continue
-            least = (SIMILARITY - _SLACK) * self.total[item]
-            inside = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
-            spot = hits[inside]
-            run = np.concatenate([[0], np.cumsum(weight[spot])])
-            if run[-1] < least:
-                continue
-            length = n - size + 1
-            start = np.arange(max(int(spot[0]) - length + 1, 0), int(spot[-1]) + 1)
-            share = run[np.searchsorted(spot, start + length)] - run[np.searchsorted(spot, start)]
-            start = start[share >= least]
-            if not len(start):
-                continue
-            if before is None:
-                before = _before(grams)
-            shared = np.zeros(len(grams), bool)
-            shared[spot] = True
+                yield from self._in_text(d, size, grams[lo:hi], weight[lo:hi], number[lo:hi], sources)
+
+    def _in_text(self, doc, size, grams, weight, number, sources):
+        found: dict[int, list[np.ndarray]] = {}
+        if "prints" in sources:
+            self._by_prints(found, size, grams, weight, number)
+        if "bound" in sources:
+            self._by_bound(found, size, grams, weight, number)
+        before = _before(grams) if found else None
+        for item in sorted(found):
+            length, own = len(self.grams[item]), self.numbers[item]
+            shared = own[np.minimum(np.searchsorted(own, number), len(own) - 1)] == number
+            start = np.unique(np.concatenate(found[item]))
             step = max(1, (1 << 20) // length)
             for p in range(0, len(start), step):
                 s = start[p : p + step]
@@ -229,6 +253,72 @@ class Benchmark:
                     (known * shared[at]).sum(1), there & (number[at] < 0), grams[at],
                 )
 
+    def _by_prints(self, found, size, grams, weight, number):
+        """Windows within ``RADIUS`` bits of an item of their length."""
+        hits = np.flatnonzero(number >= 0)
+        starts = [
+            _reaching(hits, weight, int(n), least) if of == size else hits[:0]
+            for (of, n), least in zip(self.lengths, self.least, strict=True)
+        ]
+        kind = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+        start = np.concatenate(starts)
+        order = np.argsort(start, kind="stable")
+        start, kind = start[order], kind[order]
+        length = self.lengths[kind, 1]
+        covered = np.cumsum(length)
+        p = 0
+        while p < len(start):
+            # As many windows as hold so many shingles, one at least.
+            q = int(np.searchsorted(covered, covered[p] - length[p] + _AT_ONCE, "right"))
+            q = max(p + 1, min(q, p + 1024))
+            s, e = start[p:q], np.minimum(start[p:q] + length[p:q], len(grams))
+            # The shingles of these windows, without what lies between.
+            n = e - s
+            at = np.unique(np.arange(n.sum()) + np.repeat(s - np.cumsum(n) + n, n))
+            prints = simhash(grams[at], weight[at], np.searchsorted(at, s), np.searchsorted(at, e))
+            w, items = self.near(prints, kind[p:q])
+            order = np.argsort(items, kind="stable")
+            met, first = np.unique(items[order], return_index=True)
+            for item, own in zip(met.tolist(), np.split(s[w[order]], first[1:]), strict=False):
+                found.setdefault(item, []).append(own)
+            p = q
+
+    def _by_bound(self, found, size, grams, weight, number):
+        """Windows of a text with a heavy shingle of an item that share enough of the item's weight."""
+        hits = np.flatnonzero(number >= 0)
+        held = number[hits]
+        met = np.unique(held)
+        met = met[self.owned[met + 1] > self.owned[met]]
+        if not len(met):
+            return
+        items = np.unique(np.concatenate([self.owner[self.owned[g] : self.owned[g + 1]] for g in met]))
+        for item in items.tolist():
+            if min(SHINGLE, self.words[item]) != size:
+                continue
+            own = self.numbers[item]
+            inside = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
+            least = (SIMILARITY - _SLACK) * self.total[item]
+            start = _reaching(hits[inside], weight, len(self.grams[item]), least)
+            if len(start):
+                found.setdefault(item, []).append(start)
+
+
+def _reaching(spot: np.ndarray, weight: np.ndarray, length: int, least: float) -> np.ndarray:
+    """Starts of the windows in which the shingles at ``spot`` weigh ``least`` or more."""
+    run = np.concatenate([[0], np.cumsum(weight[spot])])
+    if not len(spot) or run[-1] < least:
+        return np.empty(0, np.int64)
+    # A window holds no more than the one that starts at its first shingle of these.
+    good = np.flatnonzero(run[np.searchsorted(spot, spot + length)] - run[:-1] >= least)
+    if not len(good):
+        return good
+    low = np.maximum(np.where(good > 0, spot[good - 1] + 1, 0), spot[good] - length + 1)
+    low = np.maximum(low, 0)
+    n = spot[good] - low + 1
+    start = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+    share = run[np.searchsorted(spot, start + length)] - run[np.repeat(good, n)]
+    return start[share >= least]
+
 
 def _before(grams: np.ndarray) -> np.ndarray:
     """Where each shingle of a text was last met, or -1."""
