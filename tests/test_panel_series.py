@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import operators as O
 from tidewatch.functions import round_half_even
-from tidewatch.sources import date_spine, dense_grid, spine_between
+from tidewatch.sources import date_spine, dense_grid, main_stretch, off_stretch, spine_between
 
 D = dt.date
 START, END = D(2021, 8, 18), D(2021, 9, 6)
@@ -87,6 +87,30 @@ def test_fill_gaps(spark, rows):
     assert [r.n for r in O.fill_gaps(months, "d", "month").orderBy("d").collect()] == [1, 0, 0, 1]
 
 
+def test_mistyped_years_stand_apart(spark, rows):
+    days = [D(2021, 1, 1), D(2021, 1, 3), D(2021, 1, 3), D(9999, 12, 31), D(1921, 1, 1), None]
+    df = spark.createDataFrame(list(enumerate(days)), "id long, d date")
+    assert rows(main_stretch(df, "d")) == [(D(2021, 1, 1), D(2021, 1, 3))]
+    assert len(rows(spine_between(df, "d", max_gap=30))) == 3
+    assert [r.id for r in off_stretch(df, "d").orderBy("id").collect()] == [3, 4]
+    # As many rows in both: the earlier; a gap of just as many days is none.
+    even = spark.createDataFrame([(D(2021, 1, 1),), (D(2021, 1, 31),), (D(2030, 1, 1),)], "d date")
+    assert rows(main_stretch(even, "d", 30)) == [(D(2021, 1, 1), D(2021, 1, 31))]
+    assert rows(main_stretch(even, "d", 29)) == [(D(2021, 1, 1), D(2021, 1, 1))]
+    nothing = df.filter("d is null")
+    assert rows(main_stretch(nothing, "d")) == [(None, None)]
+    assert rows(spine_between(nothing, "d", max_gap=30)) == rows(off_stretch(nothing, "d")) == []
+    counts = df.filter("d is not null").groupBy("d").agg(F.count("*").alias("n"))
+    got = rows(O.fill_gaps(counts, "d", "day", max_gap=30), "d", "n")
+    assert got == [
+        (D(1921, 1, 1), 1),
+        (D(2021, 1, 1), 1),
+        (D(2021, 1, 2), 0),
+        (D(2021, 1, 3), 2),
+        (D(9999, 12, 31), 1),
+    ]
+
+
 def test_region_rules_need_not_add_up(spark):
     df = spark.createDataFrame(
         [(START, "Cache", "Confirmed"), (START, "Cache", "Probable"), (START, None, "Confirmed")],

@@ -59,14 +59,20 @@ def fill_spine(
     return fill_zero(spine.join(counts, keys, "left"), cols)
 
 
-def fill_gaps(counts: DataFrame, date: str, step: str, by: Keys | None = None) -> DataFrame:
+def fill_gaps(
+    counts: DataFrame, date: str, step: str, by: Keys | None = None, max_gap: int | None = None
+) -> DataFrame:
     """Add the dates missing between the first and the last row of each entity, counting 0.
 
     For spines whose bounds come from the data: each row reaches up to its successor, so the
-    counts are computed once and no spine has to be built from them first.
+    counts are computed once and no spine has to be built from them first. A gap of more than
+    ``max_gap`` days stays open, so a mistyped date keeps its row and adds no others.
     """
     others = [c for c in counts.columns if c not in {date, *_keys(by or [])}]
     successor = F.lead(date).over(Window.partitionBy(*_keys(by or [])).orderBy(date))
+    if max_gap is not None:
+        near = F.datediff(successor, F.col(date)) <= max_gap
+        successor = F.when(near, successor)
     days = F.sequence(F.col(date), F.coalesce("_next", F.col(date)), F.expr(STEPS[step]))
     # The successor is a row of its own.
     reach = F.when(F.col("_next").isNull(), days).otherwise(F.slice(days, 1, F.size(days) - 1))

@@ -18,7 +18,7 @@ from .sinks import (
     write_by_recipient,
     write_extract,
 )
-from .spine import date_spine, dense_grid, spine_between
+from .spine import date_spine, dense_grid, main_stretch, off_stretch, spine_between
 
 __all__ = [
     "commit_snapshot",
@@ -27,7 +27,9 @@ __all__ = [
     "dimension",
     "dimension_names",
     "latest_snapshot_date",
+    "main_stretch",
     "normalize_columns",
+    "off_stretch",
     "prune",
     "publish",
     "read_extract",

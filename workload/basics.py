@@ -11,7 +11,7 @@ from tidewatch import functions as X
 from tidewatch import operators as O
 from tidewatch.functions import date_lit
 from tidewatch.plans.extracts import AGE_LABELS, AGE_UPPER, city_rules
-from tidewatch.sources import date_spine, dense_grid, spine_between
+from tidewatch.sources import date_spine, dense_grid, off_stretch, spine_between
 
 from .derived import AS_OF, SNAPSHOT_CUTOFF, START, days, extract, extract_sql, table
 from .registry import full_window, half_even, query, running, spine_sql, sunday
@@ -63,6 +63,38 @@ def spine_monthly(spark, sf_dir):
     )
 
 
+#: A few orders get a year that is a thousand too high, as a typing error would.
+MISTYPED = f"""SELECT o_orderkey AS id, o_totalprice AS amount, CASE WHEN o_orderkey % 97 = 1
+    THEN CAST({ORDER_DAY} + INTERVAL 1000 YEAR AS DATE) ELSE {ORDER_DAY} END AS day FROM orders"""
+MAIN_STRETCH = f"""d AS ({MISTYPED}),
+    c AS (SELECT day, count(*) n, day - lag(day) OVER (ORDER BY day) gap FROM d
+          WHERE day IS NOT NULL GROUP BY day),
+    s AS (SELECT day, n, sum(CASE WHEN gap > 366 THEN 1 ELSE 0 END) OVER (ORDER BY day) k FROM c),
+    b AS (SELECT min(day) lo, max(day) hi FROM s GROUP BY k ORDER BY sum(n) DESC, lo LIMIT 1)"""
+
+
+def mistyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = F.col("o_orderkey") % 97 == 1
+    return orders(spark, sf_dir).select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_totalprice").alias("amount"),
+        F.when(far, F.add_months("day", 12000)).otherwise(F.col("day")).alias("day"),
+    )
+
+
+@query(
+    f"""WITH {MAIN_STRETCH}
+    SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b"""
+)
+def spine_main_stretch(spark, sf_dir):
+    return spine_between(mistyped(spark, sf_dir), "day", max_gap=366)
+
+
+@query(f"WITH {MAIN_STRETCH} SELECT d.* FROM d, b WHERE d.day < b.lo OR d.day > b.hi")
+def off_main_stretch(spark, sf_dir):
+    return off_stretch(mistyped(spark, sf_dir), "day")
+
+
 # ---------------------------------------------------------------- projections
 
 
