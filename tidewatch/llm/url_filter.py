@@ -92,8 +92,11 @@ def _log_ratios(counts: DataFrame, order: int) -> DataFrame:
 
 def _scores(urls: DataFrame, order: int) -> DataFrame:
     """Mean log ratio per character of every distinct URL."""
-    # A URL becomes some thirty strings: deal the URLs over all cores before that, not after.
-    dealt = urls.repartition("uid")
+    # A URL becomes some thirty strings: deal the URLs over all cores before that, not after. With the
+    # number of parts given, adaptive execution does not merge these small rows into one task again.
+    spark = urls.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = urls.repartition(parts, "uid")
     grams = dealt.select("uid", "verdict", "trains", F.explode(_strings(order)).alias("g"))
     one = lambda v: F.sum(F.when(F.col("trains") & (F.col("verdict") == v), 1).otherwise(0))
     counts = staged(grams.groupBy("g").agg(one("allow").alias("a"), one("block").alias("b")), "grams")
