@@ -76,5 +76,19 @@ def test_random_texts_of_few_signs(spark, seed):
     check(df, texts, 64, 8)
 
 
+def test_what_is_left_of_shared_passages(spark):
+    """Over 50 words in two documents: cut from 400 bytes on, shorter ones stay; the size left is told."""
+    short = " ".join(f"p{k:05d}" for k in range(55))  # 384 bytes
+    long = " ".join(f"q{k:06d}" for k in range(60))  # 479 bytes
+    texts = [f"{'a' * 50} {short} {'b' * 50}", f"{'c' * 60} {short} {'d' * 60}", f"{'é' * 50}{long}{'f' * 50}",
+             f"{'g' * 60}{long}", "h" * 399, "i" * 400 + long.upper(), None, "", "j" * 401]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in removal_digest(df).collect()}
+    whole = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert {i: r.n_kept for i, r in got.items()} == {i: len(r.kept) for i, r in whole.items()}
+    assert [got[i].n_kept for i in range(9)] == [486, 506, 150, 60, 399, 879, 0, 0, 0]
+    assert [got[i].share_removed for i in range(9)] == [0, 0, 479 / 629, 479 / 539, 0, 0, 0, 0, 1]
+
+
 def test_no_documents(nothing):
     assert removal_digest(nothing).collect() == []
