@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages over whole tables.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps, with their columns;
-the last returns where the ids of each document are. Stages hand over written tables.
+the last returns where the ids of each document are. Stages hand over written tables. Those that run
+Python keep the session's Arrow batches small, since executors and workers outlive a stage.
 
 Defined results: columns that no stage asks for pass through all but the last unchanged, whatever
 their names. A null text is empty: the quality rules reject it, as they do any text under 50 words. A
@@ -20,7 +21,7 @@ from tidewatch.llm.mixing import mixed_rows
 from tidewatch.llm.ngram_join import keep_one
 from tidewatch.llm.quality import keep_good
 from tidewatch.llm.queries import vocabulary
-from tidewatch.llm.spark_io import read, scratch, staged
+from tidewatch.llm.spark_io import bound_batches, read, scratch, staged
 from tidewatch.llm.token_output import documents_of, write
 
 #: The mixture uses every document, and those of the smallest sources at most so often.
@@ -29,16 +30,19 @@ MAX_REPEATS = 1.25
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bound_batches(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 80 percent."""
+    bound_batches(spark)
     return keep_one(docs, n=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    bound_batches(spark)
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
@@ -49,6 +53,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in shards with a keyed index, read back by key."""
+    bound_batches(spark)
     return documents_of(write(docs, scratch(spark, "ids"), vocabulary("byte_bpe_50k.json")))
 
 

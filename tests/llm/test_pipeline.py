@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -60,3 +61,23 @@ def test_clashing_columns_pass_unchanged(spark):
         for r in rows:
             assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names] and r.m == {"a": r.doc_id}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_stages_keep_arrow_batches_small(spark):
+    """Whatever the rows of a table, executor and worker hold a few megabytes of it at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = read(spark, SF, "documents")
+    wide = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("ten bytes "), 1000).alias("text"))
+
+    def sizes(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([rows.nbytes])], ["n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        out = stage(spark, docs, SF)
+        if name != "source_mixing":  # the one stage without Python
+            n = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+            assert sum(n) >= 20_000_000 and max(n) < 5_000_000
+        assert out.columns
+    spark.conf.unset(key)

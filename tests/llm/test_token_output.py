@@ -39,6 +39,28 @@ def test_encoder_cuts_as_the_tokenizer_does(tokenizer, monkeypatch):
         assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_encoder_gives_the_tokenizer_few_units_at_once(tokenizer):
+    """What the tokenizer makes of a batch is held apart from the ids, and its memory stays with the worker."""
+    import os
+
+    encode, sizes = T.Encoder(PATH), []
+    inner = encode.tokenizer
+
+    class Told:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(len(texts))
+            return inner.encode_batch_fast(texts, **options)
+
+    encode.tokenizer = Told()
+    text = " ".join(f"unit{k:x}" for k in range(5000))
+    data, offsets = utf8(pa.array([text, "", text + " more"]))
+    ids, n = encode(data, offsets)
+    assert max(sizes) <= 1024 and sum(sizes) >= 5000
+    assert ids.tolist() == [i for t in (text, "", text + " more") for i in tokenizer.encode(t, add_special_tokens=False).ids]
+    assert n[1] == 0 and n.sum() == len(ids)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_index_is_minimal_perfect_and_refuses_foreign_keys():
     keys = mix(np.arange(20_000).astype(np.uint64))
     levels, slot = T.build_index(keys)

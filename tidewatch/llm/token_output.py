@@ -43,6 +43,8 @@ from .spark_io import staged, text_rows
 END_ID = 0
 #: Mean keys in a bucket of the index, units a worker remembers, text bytes aimed at per shard.
 BUCKET_KEYS, KNOWN_UNITS, SHARD_BYTES = 50_000, 1 << 20, 64 << 20
+#: Units or texts that the tokenizer gets at once.
+ENCODE_AT_ONCE = 1024
 _U = np.uint64
 #: White space beyond ASCII's that the pre-tokenizer knows: U+0085, U+00A0, U+1680, U+2000 to
 #: U+200A, U+2028, U+2029, U+202F, U+205F, U+3000, and the separators 0x1C to 0x1F.
@@ -70,10 +72,13 @@ class Encoder:
     """Ids of texts, by way of the distinct units in them."""
 
     def __init__(self, path: str) -> None:
+        import os
         import re
 
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the tokenizer's own would each keep memory in the worker.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.rare = re.compile(_RARE)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
@@ -88,7 +93,11 @@ class Encoder:
         self.flat, self.end = np.empty(1 << 16, self.type), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = []
+        for p in range(0, len(texts), ENCODE_AT_ONCE):
+            some = texts[p : p + ENCODE_AT_ONCE]
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return found
 
     def _units_ids(self, data, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many units, and their number for each."""
